@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlane.llm import charforms, copies, splits
+from siftlane.llm import charforms, copies, cuttext, leaks, splits, tokenize
 from siftlane.session import table
 
 
@@ -52,12 +52,40 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.row_pairs(*splits.split_overlaps(table(spark, d, "labelled_csv")))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.token_ids(table(spark, d, "documents"))
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts back from their ids: an exact round trip of the whole table."""
+    return tokenize.decoded(p8_ids(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return cuttext.judged(table(spark, d, "documents")).where("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cuttext.rates(cuttext.judged(table(spark, d, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_unified": p7_unified,
+    "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
