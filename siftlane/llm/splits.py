@@ -43,12 +43,10 @@ def frequencies(forms: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
-        cache: dict[str, int] = {}
         for batch in batches:
             seen = Counter(w for form in batch.column(0).to_pylist() for w in cf.words_of_form(form))
             slots = np.fromiter((word_hash(w) % SKETCH for w in seen), np.int64, len(seen))
             np.add.at(total, slots, np.fromiter(seen.values(), np.int64, len(seen)))
-        del cache
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
@@ -128,33 +126,46 @@ def distance(a: list[str], b: list[str], most: int) -> int:
 
 
 def _keys(classes: DataFrame, counts: np.ndarray, most: float) -> DataFrame:
-    """The ``e + 1`` rarest one-word chunks of each record; a repeated word counts by its occurrence."""
+    """The ``e + 1`` rarest one-word chunks of each record; a repeated word counts by its occurrence.
+
+    With each go the record's length and 128 bits of its set of words, by which
+    unlike records part inside the join, before any text is fetched.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = shared.value.tolist()
+        hashes: dict[str, int] = {}
         for batch in batches:
-            ids, keys, sizes, train, held = [], [], [], [], []
-            for cid, form, t, h in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            ids, keys, sizes, low, high = [], [], [], [], []
+            for cid, form in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = cf.words_of_form(form)
                 n = len(words)
                 seen: dict[int, int] = {}
                 marked = []
+                bits = 0
                 for w in words:
-                    x = word_hash(w)
+                    x = hashes.get(w)
+                    if x is None:
+                        if len(hashes) > 200_000:
+                            hashes.clear()
+                        x = hashes[w] = word_hash(w)
                     k = seen[x] = seen.get(x, 0) + 1
+                    bits |= 1 << (x >> 57)
                     # the k-th occurrence orders behind the first at the same rarity
-                    marked.append((int(table[x % SKETCH]), k, x))
+                    marked.append((table[x % SKETCH], k, x))
                 marked.sort()
-                for _, k, x in marked[: allowed(int(n / (1 - most) + 1e-9), most) + 1]:
-                    ids.append(cid)
-                    keys.append((x * 0x9E3779B97F4A7C15 + k) % (1 << 63))
-                    sizes.append(n)
-                    train.append(t)
-                    held.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(train, pa.bool_()), pa.array(held, pa.bool_())], ["cid", "key", "n", "train", "held"])
+                lo, hi = bits & 0xFFFFFFFFFFFFFFFF, bits >> 64
+                lo, hi = lo - ((lo >> 63) << 64), hi - ((hi >> 63) << 64)
+                top = marked[: allowed(int(n / (1 - most) + 1e-9), most) + 1]
+                keys += [(x * 0x9E3779B97F4A7C15 + k) % (1 << 63) for _, k, x in top]
+                ids += [cid] * len(top)
+                sizes += [n] * len(top)
+                low += [lo] * len(top)
+                high += [hi] * len(top)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["key", "cid", "n", "low", "high"])
 
-    return classes.select("cid", "form", "train", "held").mapInArrow(run, "cid BIGINT, key BIGINT, n INT, train BOOLEAN, held BOOLEAN")
+    return classes.select("cid", "form").mapInArrow(run, "key BIGINT, cid BIGINT, n INT, low BIGINT, high BIGINT")
 
 
 def _verify(pairs: DataFrame, counts: np.ndarray, most: float) -> DataFrame:
@@ -198,13 +209,17 @@ def split_overlaps(df: DataFrame, id_col: str = "row_id", text_col: str = "text"
     classes = base.groupBy("root", "form").agg(F.min("id").alias("cid"), F.bool_or(~F.col("held")).alias("train"), F.bool_or("held").alias("held"))
     classes = written(classes, "split-classes")
     counts = frequencies(classes)
-    keys = _keys(classes, counts, most)
-    left = keys.where("train").select("key", F.col("cid").alias("ca"), F.col("n").alias("na"))
-    right = keys.where("held").select("key", F.col("cid").alias("cb"), F.col("n").alias("nb"))
-    near = F.least("na", "nb") >= F.greatest("na", "nb") - F.floor(most * F.greatest("na", "nb") + 1e-9)
+    left = _keys(classes.where("train"), counts, most).toDF("key", "ca", "na", "la", "ha")
+    right = _keys(classes.where("held"), counts, most).toDF("key", "cb", "nb", "lb", "hb")
+    edits = F.floor(most * F.greatest("na", "nb") + 1e-9)
+    # each differing word changes two bits of the word sets at most
+    near = (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) + F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= 2 * edits)
     pairs = left.join(right, "key").where(near & (F.col("ca") != F.col("cb"))).select("ca", "cb").distinct()
-    texts = classes.select("cid", "form")
-    pairs = pairs.join(texts.select(F.col("cid").alias("ca"), F.col("form").alias("fa")), "ca").join(texts.select(F.col("cid").alias("cb"), F.col("form").alias("fb")), "cb")
+    # the few pairs left are kept, so that fetching their texts does not run the join again
+    pairs = written(pairs, "split-pairs")
+    train_texts = classes.where("train").select(F.col("cid").alias("ca"), F.col("form").alias("fa"))
+    held_texts = classes.where("held").select(F.col("cid").alias("cb"), F.col("form").alias("fb"))
+    pairs = pairs.join(train_texts, "ca").join(held_texts, "cb")
     same = classes.where("train AND held").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"), F.lit(1.0).alias("overlap"), F.lit(0.0).alias("difference"))
     links = _verify(pairs, counts, most).unionByName(same)
     members = base.select("id", "root", "held").join(classes.select("root", "cid"), "root").select("id", "cid", "held")
