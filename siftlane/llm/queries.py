@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlane.llm import charforms, copies, cuttext, leaks, splits, tokenize
+from siftlane.llm import charforms, copies, cuttext, language, leaks, splits, tokenize
 from siftlane.session import table
 
 
@@ -30,6 +30,15 @@ def unified(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, df.drop("text").schema.add("form", "string").add("held", "boolean"))
 
 
+def p1_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every row, with its confidence and the label the row came with."""
+    return language.labelled(table(spark, d, "labelled_csv"), table(spark, d, "lang_samples"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(p1_stretches(spark, d)).select("row_id", "seg_no", "lang")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     # plain ASCII needs no look: it stays in the JVM
     odd = texts(spark, d).where(F.col("text").rlike("[^ -~\\t\\n\\r]"))
@@ -74,6 +83,8 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_stretches": p1_stretches,
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p6_found": p6_found,
