@@ -146,12 +146,14 @@ def _or_by(run: np.ndarray, flags: np.ndarray, n_runs: int) -> np.ndarray:
     return np.bitwise_or.reduceat(flags, first) if n_runs else flags[:0]
 
 
-def _unify(texts: list[str], t: Tables) -> tuple[list[str], np.ndarray]:
-    """The one form of each text, and whether it held look-alikes; all texts are suspect."""
+def _unify(texts: list[str], t: Tables) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
+    """The one form of each text, whether it held look-alikes, and where each of its characters stood; all texts are suspect."""
     n = len(texts)
     cps = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(n), np.array([len(x) + 1 for x in texts[:-1]] + [len(texts[-1])]))
     hit = np.zeros(n, bool)
+    src = np.arange(len(cps))
+    begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
     low = np.minimum(cps, TOP - 1).astype(np.int64)
     low[cps >= TOP] = 0x4E00  # a letter like any ideograph; its own code point is kept
     fl = t.flags[low]
@@ -171,7 +173,7 @@ def _unify(texts: list[str], t: Tables) -> tuple[list[str], np.ndarray]:
             tagged = cps[at] >= 0xE0000
             hit[row[at[inside & ~joins & ~tagged]]] = True
             keep[at[joins | tagged]] = True
-        cps, low, fl, row = cps[keep], low[keep], fl[keep], row[keep]
+        cps, low, fl, row, src = cps[keep], low[keep], fl[keep], row[keep], src[keep]
 
     # 2. spaces
     space = (fl & SPACE) > 0
@@ -194,7 +196,7 @@ def _unify(texts: list[str], t: Tables) -> tuple[list[str], np.ndarray]:
             wide = np.repeat(cps, size)
             for i in many.tolist():
                 wide[put[i] : put[i] + size[i]] = t.many[int(cps[i])]
-            row, cps = np.repeat(row, size), wide
+            row, src, cps = np.repeat(row, size), np.repeat(src, size), wide
 
     # 4. combining marks: decompose, order by class within the cluster, recompose
     low = np.where(cps < TOP, cps, 0x4E00).astype(np.int64)
@@ -214,12 +216,12 @@ def _unify(texts: list[str], t: Tables) -> tuple[list[str], np.ndarray]:
             wide = np.repeat(cps, size)
             for i in apart:
                 wide[put[i] : put[i] + size[i]] = t.split[int(cps[i])]
-            row, cps = np.repeat(row, size), wide
+            row, src, cps = np.repeat(row, size), np.repeat(src, size), wide
         low = np.where(cps < TOP, cps, 0x4E00).astype(np.int64)
         ccc = t.ccc[low]
         cluster = np.cumsum(ccc == 0)
         order = np.lexsort((np.arange(len(cps)), ccc, cluster))
-        cps, row, ccc, cluster = cps[order], row[order], ccc[order], cluster[order]
+        cps, row, ccc, cluster, src = cps[order], row[order], ccc[order], cluster[order], src[order]
         cps = cps.copy()
         alive = np.ones(len(cps), bool)
         first = np.maximum.accumulate(np.where(ccc == 0, np.arange(len(cps)), -1))
@@ -236,7 +238,7 @@ def _unify(texts: list[str], t: Tables) -> tuple[list[str], np.ndarray]:
             cps[base[joined]] = t.pair_to[where[joined]]
             alive[at[joined]] = False
             blocked[base[~joined]] = ccc[at[~joined]]
-        cps, row = cps[alive], row[alive]
+        cps, row, src = cps[alive], row[alive], src[alive]
 
     # 5. look-alike letters: by word, where the word leaves it open by sentence
     low = np.where(cps < TOP, cps, 0x4E00).astype(np.int64)
@@ -284,11 +286,12 @@ def _unify(texts: list[str], t: Tables) -> tuple[list[str], np.ndarray]:
     data = cps.astype(np.uint32)
     bounds = np.searchsorted(row, np.arange(n + 1))
     whole = data.tobytes().decode("utf-32-le", "surrogatepass")
-    out = []
+    out, places = [], []
     for i in range(n):
-        a, b = bounds[i], bounds[i + 1]
-        out.append(whole[a : b - 1] if i < n - 1 else whole[a:b])
-    return out, hit
+        a, b = bounds[i], bounds[i + 1] - (i < n - 1)
+        out.append(whole[a:b])
+        places.append(src[a:b] - begin[i])
+    return out, hit, places
 
 
 def _between_cyrillic(cps, fl, word, in_word, row) -> np.ndarray:
@@ -310,12 +313,21 @@ def _between_cyrillic(cps, fl, word, in_word, row) -> np.ndarray:
 
 def unify(texts: list[str | None]) -> tuple[list[str | None], list[bool]]:
     """``(one form, held look-alikes)`` of each text; null stays null, false."""
+    out, hits, _ = located(texts)
+    return out, hits
+
+
+def located(texts: list[str | None]) -> tuple[list[str | None], list[bool], list[np.ndarray | None]]:
+    """As ``unify``, and for each changed text where each character of its form stood in it."""
     t = tables()
     out = list(texts)
     hits = [False] * len(texts)
+    places: list[np.ndarray | None] = [None] * len(texts)
     odd = [i for i, x in enumerate(texts) if x and suspect(x, t)]
     if odd:
-        forms, hit = _unify([texts[i] for i in odd], t)
-        for i, form, h in zip(odd, forms, hit.tolist()):
+        forms, hit, where = _unify([texts[i] for i in odd], t)
+        for i, form, h, w in zip(odd, forms, hit.tolist(), where):
             out[i], hits[i] = form, h
-    return out, hits
+            if form != texts[i]:
+                places[i] = w
+    return out, hits, places

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlane.llm import charforms, copies, cuttext, language, leaks, splits, tokenize
+from siftlane.llm import charforms, copies, cuttext, language, leaks, pii, splits, tokenize
 from siftlane.session import table
 
 
@@ -57,6 +57,19 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.records(table(spark, d, "labelled_csv"))
 
 
+def p5_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Every accepted value with its place in the text and its probability."""
+    return pii.judged(texts(spark, d), table(spark, d, "name_lexicon")).select("src", "key_id", "kind", "value", "start", "stop", "probability")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_spans(spark, d).select("src", "key_id", "kind", "value").distinct()
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(texts(spark, d), p5_spans(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.row_pairs(*splits.split_overlaps(table(spark, d, "labelled_csv")))
 
@@ -87,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_stretches": p1_stretches,
     "p4_found": p4_found,
     "p4_records": p4_records,
+    "p5_found": p5_found,
+    "p5_spans": p5_spans,
+    "p5_masked": p5_masked,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_unified": p7_unified,
