@@ -95,9 +95,12 @@ def anomaly(text: Column) -> Column:
         (obfuscated(text), 0.12, "obfuscated spelling"),
         (digit_ratio(text) >= 0.08, 0.08, "digit-heavy content"),
     ]
-    score = F.lit(0.0)
-    for test, amount, _ in steps:
-        moved = F.least(F.lit(1.0), score + amount) if amount > 0 else F.greatest(F.lit(0.0), score + amount)
-        score = F.when(test, moved).otherwise(score)
-    signals = F.filter(F.array(*[F.when(test, F.lit(label)) for test, _, label in steps]), lambda x: x.isNotNull())
-    return F.struct(F.round(score, 3).alias("score"), F.slice(signals, 1, 4).alias("signals"))
+    # the tests are worked out once, then folded: nested conditions would repeat them at every step
+    told = F.array(*[F.struct(test.alias("on"), F.lit(amount).alias("by"), F.lit(label).alias("label")) for test, amount, label in steps])
+
+    def of(xs: Column) -> Column:
+        score = F.aggregate(xs, F.lit(0.0), lambda acc, x: F.when(~x["on"], acc).when(x["by"] > 0, F.least(F.lit(1.0), acc + x["by"])).otherwise(F.greatest(F.lit(0.0), acc + x["by"])))
+        signals = F.transform(F.filter(xs, lambda x: x["on"]), lambda x: x["label"])
+        return F.struct(F.round(score, 3).alias("score"), F.slice(signals, 1, 4).alias("signals"))
+
+    return F.element_at(F.transform(F.array(told), of), 1)

@@ -15,6 +15,19 @@ from siftlane.functions import text as tx
 from siftlane.functions import urls as ux
 from siftlane.operators.matching import with_hits
 
+
+
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once a row.
+
+    Plain projections are inlined into every later use and filter, which repeats costly
+    expressions many times over; a generated column is a border that they do not cross.
+    """
+    struct = F.struct(*[col.alias(name) for name, col in columns.items()])
+    out = df.drop(*columns).select("*", F.explode(F.array(struct)).alias("_held"))
+    return out.select(*[F.col(f"`{c}`") for c in out.columns if c != "_held"], *[F.col(f"_held.{name}").alias(name) for name in columns])
+
+
 _NONE = "STRUCT<multiplier: DOUBLE, segment: STRING, is_whitelisted: BOOLEAN, url: STRING, expanded_url: STRING, unmasked_root: STRING, destination_risky: BOOLEAN>"
 
 
@@ -72,7 +85,7 @@ def with_url_info(df: DataFrame, cfg: c.EngineConfig, resolutions: DataFrame | N
     link stays unresolved.  The first ``max_lookups`` shortened links of a message are
     looked up.  ``key`` must be unique.
     """
-    df = df.withColumn("_urls", tx.urls(F.coalesce(F.col(text), F.lit(""))))
+    df = held(df, _urls=tx.urls(F.coalesce(F.col(text), F.lit(""))))
     if resolutions is None:
         infos = F.transform("_urls", lambda u: classified(u, F.lit(None).cast("string"), cfg))
     else:
@@ -90,7 +103,7 @@ def with_url_info(df: DataFrame, cfg: c.EngineConfig, resolutions: DataFrame | N
     )
     # messages without any link need no classification
     info = F.when(F.size("_urls") == 0, none).otherwise(F.coalesce(worst(infos), none))
-    out = df.withColumn("url_info", info).drop("_urls")
+    out = held(df, url_info=info).drop("_urls")
     return out.drop("_known") if resolutions is not None else out
 
 
@@ -156,8 +169,7 @@ def with_detections(df: DataFrame, cfg: c.EngineConfig, resolutions: DataFrame |
     df = with_hits(df.withColumn(own, F.coalesce(F.col(text), F.lit(""))), cfg, own)
     df = with_url_info(df, cfg, resolutions, key, own)
     t, info = F.col(own), F.col("url_info")
-    df = df.withColumn("_found", F.when(F.size("hits") == 0, F.array().cast(df.select(detections(t, F.col("hits"), F.col("terms"), info, cfg).alias("x")).schema["x"].dataType)).otherwise(detections(t, F.col("hits"), F.col("terms"), info, cfg)))
-    df = df.withColumn("anomaly", tx.anomaly(t))
+    df = held(df, _found=detections(t, F.col("hits"), F.col("terms"), info, cfg), anomaly=tx.anomaly(t))
     a = F.col("anomaly")
     none_d = F.lit(None).cast("double")
     fallback = F.when(
@@ -170,7 +182,7 @@ def with_detections(df: DataFrame, cfg: c.EngineConfig, resolutions: DataFrame |
         .when(info["destination_risky"], F.array(_extra(t, "CRITICAL: Shortened link leads to a risky destination!", info["multiplier"], "url_shortener", F.array(F.lit("risky shortened-link destination")), "SHORTENED_LINK_DESTINATION", F.coalesce(info["expanded_url"], F.lit("")), info["multiplier"], info["segment"], none_d)))
         .otherwise(F.array())
     )
-    return df.withColumn("detections", F.concat("_found", fallback, link)).withColumn("n_layer_hits", F.size("_found")).drop("_found", "hits", "terms")
+    return held(df, detections=F.concat("_found", fallback, link), n_layer_hits=F.size("_found")).drop("_found", "hits", "terms")
 
 
 def tier(risk: Column, flagged: Column, cfg: c.EngineConfig) -> tuple[Column, Column]:
@@ -212,11 +224,9 @@ def assess(df: DataFrame, cfg: c.EngineConfig | None = None, resolutions: DataFr
     cfg = cfg or c.EngineConfig()
     df = with_detections(df, cfg, resolutions, key, text)
     found = F.col("detections")
-    df = df.withColumn("global_risk", F.coalesce(F.array_max(F.transform(found, lambda d: d["risk_score"])), F.lit(0.0)))
+    df = held(df, global_risk=F.coalesce(F.array_max(F.transform(found, lambda d: d["risk_score"])), F.lit(0.0)), evidence_groups=evidence(F.col("_text"), found, F.col("url_info")))
     severity, number = tier(F.col("global_risk"), F.size(found) > 0, cfg)
-    df = df.withColumn("raw_severity", severity).withColumn("raw_action_tier", number)
-    df = df.withColumn("evidence_groups", evidence(F.col("_text"), found, F.col("url_info")))
-    df = df.withColumn("evidence_count", F.size("evidence_groups"))
+    df = held(df, raw_severity=severity, raw_action_tier=number, evidence_count=F.size("evidence_groups"))
     df = gate(df, F.lit(cfg.warning_threshold), F.lit(cfg.min_evidence))
     return df.withColumn("is_clean", F.size(found) == 0).drop("_text")
 

@@ -114,12 +114,12 @@ class Matcher:
     def _bounded(self, text: str, first: int, last: int) -> bool:
         return not (first > 0 and _WORD.match(text[first - 1])) and not (last + 1 < len(text) and _WORD.match(text[last + 1]))
 
-    def hits(self, text: str | None) -> list[dict]:
-        """All hits after de-duplication, in the order of the layers; scores not yet applied."""
+    def hits(self, text: str | None) -> list[tuple]:
+        """All hits after de-duplication, in the order of the layers, as the fields of ``HIT``; scores not yet applied."""
         if not text or self.exact is None:
             return []
         text = self.clean(text)
-        out: list[dict] = []
+        out: list[tuple] = []
         reported: set[tuple[int, int]] = set()
         ends = defaultdict(list)
         for end, (_, js) in self.exact.iter(text):
@@ -129,13 +129,13 @@ class Matcher:
                 reported.add((j, end))
                 first = end - self.lengths[j] + 1
                 if self._bounded(text, first, end):
-                    out.append({"layer": "exact", "idx": j, "errors": 0, "first": first, "last": end, "at": end, "matched": text[first : end + 1], "root": None})
+                    out.append(("exact", j, 0, first, end, end, text[first : end + 1], None))
         for j, end, errors in self._near(text):
             if (j, end) in reported:
                 continue
             reported.add((j, end))
             first = end - len(self.norms[j]) + 1
-            out.append({"layer": "fuzzy", "idx": j, "errors": errors, "first": first, "last": end, "at": end, "matched": text[first : end + 1], "root": None})
+            out.append(("fuzzy", j, errors, first, end, end, text[first : end + 1], None))
         for m in _TOKEN.finditer(text):
             token = m[0]
             root = self.strip(token)
@@ -144,7 +144,7 @@ class Matcher:
             for j in self.roots.get(root.translate(self.table), ()):
                 if (j, m.start()) not in reported:
                     reported.add((j, m.start()))
-                    out.append({"layer": "affix", "idx": j, "errors": 0, "first": m.start(), "last": m.end() - 1, "at": m.start(), "matched": token, "root": root})
+                    out.append(("affix", j, 0, m.start(), m.end() - 1, m.start(), token, root))
         return out
 
     def _near(self, text: str) -> list[tuple[int, int, int]]:
@@ -174,12 +174,29 @@ class Matcher:
                             found.append((j, last, errors))
         return sorted(set(found))
 
-    def weights(self, text: str | None) -> list[dict]:
+    def weights(self, text: str | None) -> list[tuple]:
         """Occurrences of boosters and neutralizers, in the order of the lists."""
         if not text or self.terms is None:
             return []
         found = [(k, end - size + 1, size, w) for end, (size, values) in self.terms.iter(text.lower()) for k, w in values]
-        return [{"at": at, "size": size, "weight": w} for _, at, size, w in sorted(found)]
+        return [(at, size, w) for _, at, size, w in sorted(found)]
+
+
+def _nested(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
+    """An array of lists of structs, built by column."""
+    flat = [x for row in rows for x in row]
+    columns = list(zip(*flat)) or [()] * kind.num_fields
+    values = pa.StructArray.from_arrays([pa.array(c, kind.field(i).type) for i, c in enumerate(columns)], fields=[kind.field(i) for i in range(kind.num_fields)])
+    offsets = [0]
+    for row in rows:
+        offsets.append(offsets[-1] + len(row))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where a few small files would leave most of them idle; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def with_hits(df: DataFrame, cfg: c.EngineConfig, text: str = "text") -> DataFrame:
@@ -194,10 +211,10 @@ def with_hits(df: DataFrame, cfg: c.EngineConfig, text: str = "text") -> DataFra
             # terms matter only where there is a hit
             terms = [matcher.weights(x) if h else [] for x, h in zip(texts, hits)]
             arrays = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(hits, pa.list_(_HIT)), pa.array(terms, pa.list_(_TERM))], [*batch.schema.names, "hits", "terms"])
+            yield pa.RecordBatch.from_arrays([*arrays, _nested(hits, _HIT), _nested(terms, _TERM)], [*batch.schema.names, "hits", "terms"])
 
     taken = {"hits", "terms"} & set(df.columns)
-    df = df.drop(*taken)
+    df = spread(df.drop(*taken))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"hits ARRAY<{HIT}>", f"terms ARRAY<{TERM}>"])
     return df.mapInArrow(run, schema)
 

@@ -54,7 +54,7 @@ hitmsg AS (SELECT id, low, n FROM clean WHERE id IN (SELECT id FROM hits)),
 occ AS (SELECT id, k, w, length(term) AS size, p - 1 AS pos FROM (SELECT h.id, h.low, k, w, term, unnest(range(1, h.n - length(term) + 2)) AS p FROM hitmsg h JOIN terms ON contains(h.low, term)) WHERE substr(low, p, length(term)) = term),
 delta0 AS (SELECT h.id, h.layer, h.j, h.first, h.pos, list(o.w / (abs(o.pos - h.pos) + 1) ORDER BY o.k, o.pos) AS xs
   FROM (SELECT DISTINCT id, layer, j, first, pos FROM hits) h JOIN clean c USING (id) JOIN occ o ON o.id = h.id AND o.pos >= greatest(0, h.pos - 50) AND o.pos + o.size <= least(c.n, h.pos + 50) GROUP BY ALL),
-delta AS (SELECT h.*, coalesce(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, list_reduce(d.xs, lambda a, b: a + b))), 0.0::DOUBLE) AS delta FROM hits h LEFT JOIN delta0 d USING (id, layer, j, first, pos))"""
+delta AS (SELECT h.*, CASE WHEN d.xs IS NULL THEN 0.0::DOUBLE ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, list_reduce(d.xs, lambda a, b: a + b))) END AS delta FROM hits h LEFT JOIN delta0 d USING (id, layer, j, first, pos))"""
 
 
 def links(source: str, key: str, text: str, extra: str = "") -> str:
