@@ -324,10 +324,16 @@ def located(texts: list[str | None]) -> tuple[list[str | None], list[bool], list
     hits = [False] * len(texts)
     places: list[np.ndarray | None] = [None] * len(texts)
     odd = [i for i, x in enumerate(texts) if x and suspect(x, t)]
-    if odd:
-        forms, hit, where = _unify([texts[i] for i in odd], t)
-        for i, form, h, w in zip(odd, forms, hit.tolist(), where):
-            out[i], hits[i] = form, h
-            if form != texts[i]:
-                places[i] = w
+    # a letter that was made another may compose with the mark behind it: again, until nothing changes
+    while odd:
+        before = [out[i] for i in odd]
+        forms, hit, where = _unify(before, t)
+        again = []
+        for i, old, form, h, w in zip(odd, before, forms, hit.tolist(), where):
+            hits[i] |= h
+            if form != old:
+                out[i] = form
+                places[i] = w if places[i] is None else places[i][w]
+                again.append(i)
+        odd = [i for i in again if suspect(out[i], t)]
     return out, hits, places

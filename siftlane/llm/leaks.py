@@ -4,7 +4,7 @@ Winnowing: of the hashes of all runs of ``K`` words, the least in every window o
 ``WINDOW`` successive ones is a fingerprint, so two texts that share a run of
 ``K + WINDOW - 1`` words share a fingerprint.  Shared fingerprints give a diagonal
 (position in the document less position in the item), which is then extended: the
-items leaks if some stretch of at least ``MIN_WORDS`` words on the diagonal has at
+item leaks if some stretch of at least ``MIN_WORDS`` words on the diagonal has at
 most one word in ``ONE_IN`` replaced.  Such a stretch always holds an unbroken run
 of six words: of 20 words two at most are replaced, which leaves three runs with
 18 words, and likewise for longer stretches.  So no leak is missed.
@@ -79,12 +79,14 @@ def winnow(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndar
 
 
 def passage(same: np.ndarray, least: int = MIN_WORDS, one_in: int = ONE_IN) -> bool:
-    """Whether some stretch of ``least`` words or more has at most one in ``one_in`` unlike."""
+    """Whether some stretch of ``least`` words or more, like at both ends, has at most one in ``one_in`` unlike."""
     if len(same) < least:
         return False
     level = np.concatenate([[0], np.cumsum(np.where(same, 1, 1 - one_in))])
-    lowest = np.minimum.accumulate(level)
-    return bool((level[least:] >= lowest[: len(level) - least]).any())
+    # a stretch neither begins nor ends with a replaced word: that may as well be a word around a shorter quote
+    start = np.where(same, level[:-1], np.iinfo(np.int64).max)
+    lowest = np.minimum.accumulate(start)
+    return bool((same[least - 1 :] & (level[least:] >= lowest[: len(same) - least + 1])).any())
 
 
 class Items:
