@@ -422,6 +422,7 @@ def _(spark, d):
     return rows.select("id", "action_tier", F.size(F.from_json("j", "ARRAY<STRUCT<alert: STRING>>")).cast("long").alias("n_detections"))
 
 
+# The replies of tiers 2 and 3.
 _T2 = "⚠️ Heads up — this message has some signs of a phishing attempt ({}). Be careful before clicking links or sharing any account details."
 _T3 = "🛑 CRITICAL WARNING: This conversation shows strong signs of a phishing scam ({}). Do NOT click any links, share your OTP, password, or send money. If you're unsure, verify directly through the official app or hotline — never through a link sent in chat.\n\nTap below once you've read this."
 
