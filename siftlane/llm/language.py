@@ -326,8 +326,11 @@ def trained(samples: DataFrame, rows: DataFrame | None = None, text: str = "text
     """Centroids of ``most`` labelled samples and ``most`` labelled rows at most, chosen by the hash of their text."""
 
     def some(df: DataFrame) -> list:
-        known = df.where((F.length(text) > 0) & (F.length(F.trim(lang)) > 0) & (F.col(lang) != "und"))
-        return known.select(text, lang).orderBy(F.xxhash64(text), text, lang).limit(most).collect()
+        known = df.where((F.length(text) > 0) & (F.length(F.trim(lang)) > 0) & (F.col(lang) != "und")).select(text, lang)
+        # a top-k alone would send its k rows from every task to the driver
+        share = min(1.0, 4 * most / max(1, known.count()))
+        near = known.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else known
+        return near.orderBy(F.xxhash64(text), text, lang).limit(most).collect()
 
     sure = some(samples)
     if not sure:
