@@ -19,7 +19,6 @@ import numpy as np
 TOP = 0x20000  # code points from here on (rare ideographs, tags) are plain letters to these rules
 
 # Letters that look like a Latin letter, by script, as "foreign" -> "latin" in the same order.
-CYRILLIC_LOOKS = ("авеԁѕіјһӏорсутхԛԝАВЕЅІЈКМНОРСТУХԌԚԜҮҺ", "abedsijhlopcytxqwABESIJKMHOPCTYXGQWYh")
 CYRILLIC_LIKE = ("аеосрухіјѕһԁԛԝӏАВЕЅІЈКМНОРСТУХԌԚԜҮ", "aeocpyxijshdqwlABESIJKMHOPCTYXGQWY")
 GREEK_LIKE = ("αονρυικχτγηωΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ", "aovpuikxtynwABEZHIKMNOPTYXCj")
 OTHER_LIKE = ("ɡɑıɩӀոսօցհԼՕՏᎪᏴᏟᎬᎻᎫᏦᏞᎷᎢᏙᏃΡ", "gaiilnuoghLOSABCEHJKLMTVZP")
