@@ -84,23 +84,26 @@ def has_any(text: Column, terms: tuple[str, ...]) -> Column:
 
 def anomaly(text: Column) -> Column:
     """``struct(score, signals)`` of the dictionary-free heuristic; steps in order, each capped."""
-    norm = normalize(text)
-    # terms are compared as they are with the normalised text: those with v, f or j never match
-    steps = [
-        (has_any(norm, c.URGENCY_TERMS), 0.22, "urgency language"),
-        (has_any(norm, c.ACTION_TERMS), 0.20, "action request"),
-        (has_any(norm, c.SENSITIVE_TERMS), 0.28, "credential or payment language"),
-        (has_any(norm, c.BENIGN_TERMS), -0.18, "benign context"),
-        (url_like(norm), 0.18, "URL-like text"),
-        (obfuscated(text), 0.12, "obfuscated spelling"),
-        (digit_ratio(text) >= 0.08, 0.08, "digit-heavy content"),
-    ]
-    # the tests are worked out once, then folded: nested conditions would repeat them at every step
-    told = F.array(*[F.struct(test.alias("on"), F.lit(amount).alias("by"), F.lit(label).alias("label")) for test, amount, label in steps])
+
+    def steps(norm: Column) -> Column:
+        # terms are compared as they are with the normalised text: those with v, f or j never match
+        tests = [
+            (has_any(norm, c.URGENCY_TERMS), 0.22, "urgency language"),
+            (has_any(norm, c.ACTION_TERMS), 0.20, "action request"),
+            (has_any(norm, c.SENSITIVE_TERMS), 0.28, "credential or payment language"),
+            (has_any(norm, c.BENIGN_TERMS), -0.18, "benign context"),
+            (url_like(norm), 0.18, "URL-like text"),
+            (obfuscated(text), 0.12, "obfuscated spelling"),
+            (digit_ratio(text) >= 0.08, 0.08, "digit-heavy content"),
+        ]
+        # worked out once, then folded: nested conditions would repeat them at every step
+        return F.array(*[F.struct(test.alias("on"), F.lit(amount).alias("by"), F.lit(label).alias("label")) for test, amount, label in tests])
 
     def of(xs: Column) -> Column:
         score = F.aggregate(xs, F.lit(0.0), lambda acc, x: F.when(~x["on"], acc).when(x["by"] > 0, F.least(F.lit(1.0), acc + x["by"])).otherwise(F.greatest(F.lit(0.0), acc + x["by"])))
         signals = F.transform(F.filter(xs, lambda x: x["on"]), lambda x: x["label"])
         return F.struct(F.round(score, 3).alias("score"), F.slice(signals, 1, 4).alias("signals"))
 
+    # the normalised text is bound once: forty terms look into it
+    told = F.element_at(F.transform(F.array(normalize(text)), steps), 1)
     return F.element_at(F.transform(F.array(told), of), 1)
