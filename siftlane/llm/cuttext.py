@@ -4,10 +4,11 @@
    HTML escapes, JSON escapes, CRLF line ends) and counted by source.  A hidden
    storage limit shows as a heap of texts at the greatest length of one measure.
 2. Endings are inspected: how often the corpus ends a sentence behind the last
-   words of a text, and how often it goes on, is counted over all texts in two
-   sketches of fixed size.  Words that the corpus hardly knows, numbers, codes and
-   links enter by their shape, so that the middle of a word, number or link is told
-   from its end.
+   words of a text, and how often it goes on, is counted over all texts, exactly:
+   the counts of 1- to 5-word n-grams are a table, joined to the last words that
+   the texts ask for.  Words that the corpus hardly knows, numbers, codes and links
+   enter by their shape, so that the middle of a word, number or link is told from
+   its end.
 3. A text is cut if its ending seldom ends a sentence; at a limit less is asked.
 """
 
@@ -19,16 +20,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlane.session import written
 
-#: Counters of each sketch.
-SKETCH = 1 << 20
+#: n-grams that a task holds before it hands their counts on.
+HELD = 200_000
 #: A heap at a limit: this share of a source's texts, and this many at least, within LIMIT_SLACK units of the greatest length.
 LIMIT_SHARE, LIMIT_LEAST, LIMIT_SLACK = 0.02, 5, 3
 #: Below this probability of a sentence's end a text is cut; the second holds at a limit.
@@ -61,10 +60,6 @@ _URL = re.compile(r"^(?:https?://|www\.)|^[a-z0-9-]+(?:\.[a-z0-9-]+)+(?:/|$)", r
 _CAMEL = re.compile(r"^[^\W\d_]+?(?=[A-Z][a-z]+$)")
 
 
-def slot(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) % SKETCH
-
-
 def spell(token: str) -> tuple[str, bool]:
     """The token as counted, and whether it is a plain word."""
     if _URL.match(token) and len(token) > 3:
@@ -89,19 +84,17 @@ def tokens(text: str) -> list[str]:
 
 
 class Speech:
-    """Spelling of tokens for the ending counts, given the word counts."""
+    """Spelling of tokens for the ending counts, given the words that the corpus knows."""
 
-    def __init__(self, known: np.ndarray | None = None) -> None:
-        self.spelt: dict[str, tuple[str, bool]] = {}
+    def __init__(self, known: frozenset[str]) -> None:
         self.known = known
-        self.least = max(KNOWN_LEAST, int(KNOWN_SHARE * known.sum())) if known is not None else 0
         self.shapes: dict[str, str] = {}
 
     def shape(self, token: str) -> str:
         out = self.shapes.get(token)
         if out is None:
             word, plain = spell(token)
-            if plain and self.known[slot(word)] < self.least:
+            if plain and word not in self.known:
                 bare = token.strip(_STRIP)
                 word = "N~" if word[0] == "~" else "N" if bare[:1].isupper() else "w"
             if len(self.shapes) > 200_000:
@@ -110,13 +103,12 @@ class Speech:
         return out
 
 
-def word_counts(texts: list[str]) -> np.ndarray:
-    out = np.zeros(SKETCH, np.int64)
-    seen = Counter(t for x in texts for t in tokens(x))
-    for t, n in seen.items():
+def word_counts(texts: list[str]) -> Counter:
+    out: Counter = Counter()
+    for t, n in Counter(t for x in texts for t in tokens(x)).items():
         word, plain = spell(t)
         if plain:
-            out[slot(word)] += n
+            out[word] += n
     return out
 
 
@@ -143,7 +135,7 @@ def ends_sentence(token: str) -> int:
 
 
 def ending_counts(texts: list[str], at_limit: list[bool], speech: Speech) -> tuple[Counter, Counter]:
-    """Slots of n-grams behind which a sentence ends, and behind which it goes on."""
+    """n-grams behind which a sentence ends, and behind which it goes on."""
     final: Counter = Counter()
     going: Counter = Counter()
     for text, limited in zip(texts, at_limit):
@@ -176,51 +168,36 @@ def ending_counts(texts: list[str], at_limit: list[bool], speech: Speech) -> tup
     return final, going
 
 
-class Model:
-    def __init__(self, known: np.ndarray, final: np.ndarray, going: np.ndarray) -> None:
-        self.known, self.final, self.going = known, final, going
-        self.speech: Speech | None = None
-
-    def __getstate__(self) -> tuple:
-        return self.known, self.final, self.going
-
-    def __setstate__(self, state: tuple) -> None:
-        self.__init__(*state)
-
-    def end_probability(self, text: str, limited: bool = False) -> float:
-        """How sure it is that ``text`` ends where a sentence ends."""
-        if self.speech is None:
-            self.speech = Speech(self.known)
-        if text.rstrip().endswith("\ufffd"):
-            return 0.0
-        t = _MARK.sub("", text)
-        marked = t != text.rstrip()
-        if not t:
-            return 1.0
-        if _EMOJI.search(t) or t.endswith((":)", ":(", ":D", ";)")):
-            return 1.0
-        toks = tokens(t.rsplit("\n", 1)[-1])
-        last = toks[-1] if toks else ""
-        if last.startswith("#") and len(last) > 2 and not last[1:].isdigit():
-            return 1.0
-        closed = t.rstrip(_CLOSE)
-        if closed.endswith(("?", "!", "。", "？", "！")) or re.search(r"\(\s*\d+\s*/\s*\d+\s*\)$", t):
-            return 1.0
-        if closed.endswith(".") and not marked:
-            # at a limit the point may stand inside a number or a link
-            inside = any(c.isdigit() for c in last) or ("." in last.rstrip(".") and _URL.match(last.rstrip(".")))
-            if not (limited and inside):
-                return 1.0
-        first = max((i + 1 for i, x in enumerate(toks[:-1]) if ends_sentence(x) or not x.strip(_STRIP)), default=0)
-        shapes = [self.speech.shape(x) for x in toks]
-        p = 0.05
-        for key in keys(shapes, len(shapes) - 1, first):
-            s = slot(key)
-            f, g = float(self.final[s]), float(self.going[s])
-            p = (f + _PRIOR * p) / (f + g + _PRIOR)
-        if shapes[-1] == "w":
-            p *= UNKNOWN_WORD  # no word of the corpus: rather the beginning of one
-        return max(p, 0.998) if closed.endswith(".") and not marked and p > 0.5 else p
+def asked(text: str, limited: bool, speech: Speech) -> tuple[float | None, str | None, bool, bool]:
+    """``(probability, key, unknown, point)``: how sure it is that ``text`` ends where a sentence ends.
+
+    Where the form of the ending does not tell, the probability is None and ``key``
+    is the longest n-gram at the end, whose own endings are the shorter ones.
+    """
+    sure = lambda p: (p, None, False, False)
+    if text.rstrip().endswith("\ufffd"):
+        return sure(0.0)
+    t = _MARK.sub("", text)
+    marked = t != text.rstrip()
+    if not t:
+        return sure(1.0)
+    if _EMOJI.search(t) or t.endswith((":)", ":(", ":D", ";)")):
+        return sure(1.0)
+    toks = tokens(t.rsplit("\n", 1)[-1])
+    last = toks[-1] if toks else ""
+    if last.startswith("#") and len(last) > 2 and not last[1:].isdigit():
+        return sure(1.0)
+    closed = t.rstrip(_CLOSE)
+    if closed.endswith(("?", "!", "。", "？", "！")) or re.search(r"\(\s*\d+\s*/\s*\d+\s*\)$", t):
+        return sure(1.0)
+    if closed.endswith(".") and not marked:
+        # at a limit the point may stand inside a number or a link
+        inside = any(c.isdigit() for c in last) or ("." in last.rstrip(".") and _URL.match(last.rstrip(".")))
+        if not (limited and inside):
+            return sure(1.0)
+    first = max((i + 1 for i, x in enumerate(toks[:-1]) if ends_sentence(x) or not x.strip(_STRIP)), default=0)
+    shapes = [speech.shape(x) for x in toks]
+    return None, keys(shapes, len(shapes) - 1, first)[-1], shapes[-1] == "w", closed.endswith(".") and not marked
 
 
 def _stripped(text: str) -> str:
@@ -230,7 +207,7 @@ def _stripped(text: str) -> str:
 def first_counts(docs: DataFrame) -> DataFrame:
     """``(source, measure, value, n)``: how many texts of a source have a length in each measure.
 
-    Word counts by slot are in the same table, with the measure ``word``: one pass for both.
+    Word counts are in the same table, with the measure ``word`` and the word as ``source``: one pass for both.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,14 +219,13 @@ def first_counts(docs: DataFrame) -> DataFrame:
                 for name, f in MEASURES.items():
                     lengths[source, name, f(text)] += 1
             words = word_counts(texts)
-            at = np.flatnonzero(words)
             rows = list(lengths)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r in rows] + [""] * len(at), pa.string()),
-                    pa.array([r[1] for r in rows] + ["word"] * len(at), pa.string()),
-                    pa.array([r[2] for r in rows] + at.tolist(), pa.int64()),
-                    pa.array([*lengths.values(), *words[at].tolist()], pa.int64()),
+                    pa.array([r[0] for r in rows] + list(words), pa.string()),
+                    pa.array([r[1] for r in rows] + ["word"] * len(words), pa.string()),
+                    pa.array([r[2] for r in rows] + [0] * len(words), pa.int64()),
+                    pa.array([*lengths.values(), *words.values()], pa.int64()),
                 ],
                 ["source", "measure", "value", "n"],
             )
@@ -257,6 +233,27 @@ def first_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "source STRING, measure STRING, value BIGINT, n BIGINT").groupBy("source", "measure", "value").agg(F.sum("n").alias("n"))
 
 
+def known_words(counts: DataFrame) -> frozenset[str]:
+    """The words that the corpus knows: at most 1 / ``KNOWN_SHARE``, since each has that share of all uses or, in a small corpus, ``KNOWN_LEAST`` uses."""
+    words = counts.where("measure = 'word'")
+    least = max(KNOWN_LEAST, int(KNOWN_SHARE * (words.agg(F.sum("n")).first()[0] or 0)))
+    return frozenset(words.where(F.col("n") >= least).select("source").toArrow()["source"].to_pylist())
+
+
+def probabilities(questions: DataFrame, grams: DataFrame) -> DataFrame:
+    """``(key, p)`` of every distinct n-gram asked for: each longer n-gram outweighs the shorter by its count.
+
+    ``grams(key, final, going)`` has each n-gram once.
+    """
+    parts = F.split("key", " ")
+    size = F.size(parts)
+    shorter = F.transform(F.sequence(F.lit(1), size), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, size - k + 1, k), " ").alias("gram")))
+    each = questions.select("key").distinct().select("key", F.explode(shorter).alias("x")).select("key", "x.k", "x.gram")
+    counted = each.join(grams.withColumnRenamed("key", "gram"), "gram", "left").select("key", F.struct("k", F.coalesce("final", F.lit(0)).alias("f"), F.coalesce("going", F.lit(0)).alias("g")).alias("x"))
+    p = F.aggregate("xs", F.lit(0.05), lambda p, x: (x["f"] + _PRIOR * p) / (x["f"] + x["g"] + _PRIOR))
+    return counted.groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("key", p.alias("p"))
+
+
 def limits(counts: DataFrame) -> DataFrame:
     """``(source, measure, bound, at_limit, texts)``: the hidden limits found."""
     lengths = counts.where("measure <> 'word'")
@@ -282,45 +279,58 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     spark = docs.sparkSession
     src = docs.where(F.col(text).isNotNull() & F.col(text).rlike("\\S")).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
     counts = written(first_counts(src), "cut-counts")
-    words = counts.where("measure = 'word'").select("value", "n").toArrow()
-    known = np.zeros(SKETCH, np.int64)
-    known[words["value"].to_numpy()] = words["n"].to_numpy()
     # at most one bound a measure and source
     bounds = limits(counts).groupBy("source").agg(F.collect_list(F.struct("measure", "bound")).alias("bounds"))
     # no broadcast hint: the number of sources sets the join
     dealt = src.join(bounds, "source", "left").select("doc_id", "source", "text", "bounds")
-    known_b = spark.sparkContext.broadcast(known)
+    known_b = spark.sparkContext.broadcast(known_words(counts))
 
     def _bounds(column: pa.Array) -> list:
         return [x and [(y["measure"], y["bound"]) for y in x] for x in column.to_pylist()]
 
     def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speech = Speech(known_b.value)
-        ends, goes = np.zeros(SKETCH, np.int64), np.zeros(SKETCH, np.int64)
+        ends: Counter = Counter()
+        goes: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            seen = list(ends.keys() | goes.keys())
+            out = pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([ends[k] for k in seen], pa.int64()), pa.array([goes[k] for k in seen], pa.int64())], ["key", "final", "going"])
+            ends.clear()
+            goes.clear()
+            return out
+
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            final, going = ending_counts(texts, [_at_limit(t, b) for t, b in zip(texts, _bounds(batch.column(3)))], speech)
-            for out, seen in ((ends, final), (goes, going)):
-                np.add.at(out, np.fromiter((slot(k) for k in seen), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen)))
-        at = np.flatnonzero(ends | goes)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ends[at]), pa.array(goes[at])], ["slot", "final", "going"])
-
-    grams = dealt.mapInArrow(endings, "slot BIGINT, final BIGINT, going BIGINT").groupBy("slot").agg(F.sum("final").alias("final"), F.sum("going").alias("going")).toArrow()
-    final, going = np.zeros(SKETCH, np.float32), np.zeros(SKETCH, np.float32)
-    final[grams["slot"].to_numpy()] = grams["final"].to_numpy()
-    going[grams["slot"].to_numpy()] = grams["going"].to_numpy()
-    model_b = spark.sparkContext.broadcast(Model(known, final, going))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_b.value
+            texts, bounds = batch.column(2).to_pylist(), _bounds(batch.column(3))
+            for i in range(0, len(texts), 500):
+                some = texts[i : i + 500]
+                final, going = ending_counts(some, [_at_limit(t, b) for t, b in zip(some, bounds[i : i + 500])], speech)
+                ends.update(final)
+                goes.update(going)
+                if len(ends) + len(goes) > HELD:
+                    yield counted()
+        yield counted()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speech = Speech(known_b.value)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             limited = [_at_limit(t, b) for t, b in zip(texts, _bounds(batch.column(3)))]
-            p = [model.end_probability(t, x) for t, x in zip(texts, limited)]
-            cut = [q < (END_AT_LIMIT if x else END_ELSEWHERE) for q, x in zip(p, limited)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array(limited), pa.array(cut)], ["doc_id", "source", "end_probability", "at_limit", "cut"])
+            p, key, unknown, point = zip(*(asked(t, x, speech) for t, x in zip(texts, limited))) if texts else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(limited, pa.bool_()), pa.array(p, pa.float64()), pa.array(key, pa.string()), pa.array(unknown, pa.bool_()), pa.array(point, pa.bool_())],
+                ["doc_id", "source", "at_limit", "sure", "key", "unknown", "point"],
+            )
 
-    return dealt.mapInArrow(judge, "doc_id BIGINT, source STRING, end_probability DOUBLE, at_limit BOOLEAN, cut BOOLEAN")
+    grams = dealt.mapInArrow(endings, "key STRING, final BIGINT, going BIGINT").groupBy("key").agg(F.sum("final").alias("final"), F.sum("going").alias("going"))
+    questions = written(dealt.mapInArrow(ask, "doc_id BIGINT, source STRING, at_limit BOOLEAN, sure DOUBLE, key STRING, unknown BOOLEAN, point BOOLEAN"), "cut-questions")
+    open_ = questions.where("key IS NOT NULL").join(probabilities(questions.where("key IS NOT NULL"), grams), "key")
+    # no word of the corpus: rather the beginning of one
+    p = F.col("p") * F.when(F.col("unknown"), UNKNOWN_WORD).otherwise(1.0)
+    told = open_.withColumn("p", F.when(F.col("point") & (p > 0.5), F.greatest(p, F.lit(0.998))).otherwise(p))
+    both = questions.where("key IS NULL").withColumn("p", F.col("sure")).select("doc_id", "source", "at_limit", "p").unionByName(told.select("doc_id", "source", "at_limit", "p"))
+    cut = F.col("p") < F.when(F.col("at_limit"), END_AT_LIMIT).otherwise(END_ELSEWHERE)
+    return both.select("doc_id", "source", F.col("p").alias("end_probability"), "at_limit", cut.alias("cut"))
 
 
 def rates(judgements: DataFrame) -> DataFrame:

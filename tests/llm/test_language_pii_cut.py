@@ -117,3 +117,10 @@ def test_cut_texts(spark):
     rates = {r.source: r for r in ct.rates(ct.judged(df)).collect()}
     assert rates["limited"].at_limit >= len(full) and rates["free"].cut == 1
     assert ct.judged(df.limit(0)).count() == 0
+
+
+def test_endings_are_counted_exactly(spark):
+    """The digests of "bsjzc" and of "asks for the number of" are alike modulo 2^20: neither may take the other's counts."""
+    docs = [(i, "She asks for the number of a bus.", "free") for i in range(10)] + [(i, "We saw bsjzc.", "free") for i in range(10, 210)] + [(900, "She asks for the number of", "free"), (901, "We saw bsjzc", "free")]
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING, source STRING")
+    assert {r.doc_id for r in ct.judged(df).collect() if r.cut} == {900}
