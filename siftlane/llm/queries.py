@@ -74,6 +74,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.row_pairs(*splits.split_overlaps(table(spark, d, "labelled_csv")))
 
 
+def p6_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk overlap fraction and the share of differing words of every two linked records."""
+    return splits.overlaps(splits.split_overlaps(table(spark, d, "labelled_csv"))[0])
+
+
+def p6_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return splits.conflicts(*splits.split_overlaps(table(spark, d, "labelled_csv")))
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_counts(*splits.split_overlaps(table(spark, d, "labelled_csv")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.token_ids(table(spark, d, "documents"))
 
@@ -104,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_spans": p5_spans,
     "p5_masked": p5_masked,
     "p6_found": p6_found,
+    "p6_overlaps": p6_overlaps,
+    "p6_conflicts": p6_conflicts,
+    "p6_counts": p6_counts,
     "p7_found": p7_found,
     "p7_unified": p7_unified,
     "p8_ids": p8_ids,

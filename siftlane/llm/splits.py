@@ -21,9 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlane.functions.text import strip
 from siftlane.llm import commonform as cf
 from siftlane.llm.copies import with_forms
 from siftlane.session import written
@@ -194,17 +195,26 @@ def _verify(pairs: DataFrame, counts: np.ndarray, most: float) -> DataFrame:
     return pairs.select("ca", "cb", "fa", "fb").mapInArrow(run, "ca BIGINT, cb BIGINT, overlap DOUBLE, difference DOUBLE")
 
 
-def split_overlaps(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split_name", train: tuple[str, ...] = ("train",), held: tuple[str, ...] = ("validation", "test"), most: float = MAX_DIFFERENCE) -> tuple[DataFrame, DataFrame]:
+def spelt(label: Column) -> Column:
+    """A label in one spelling; null where it is missing or blank."""
+    t = F.lower(strip(label))
+    return F.when(t.isin("1", "phishing"), "1").when(t.isin("0", "legit"), "0").when(t != "", t)
+
+
+def split_overlaps(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split_name", source_col: str = "source", label_col: str = "label", train: tuple[str, ...] = ("train",), held: tuple[str, ...] = ("validation", "test"), most: float = MAX_DIFFERENCE) -> tuple[DataFrame, DataFrame]:
     """``(links, members)``.
 
     ``links(ca, cb, overlap, difference)``: records of the training split ``ca`` and of a
     held-out split ``cb`` that are the same or differ in at most ``most`` of their words.
-    ``members(id, cid, held)``: the rows of each record.  Rows of other or null splits,
-    null texts and texts without words take no part; repeated rows are members each.
+    ``members(id, cid, held, split, source, label)``: the rows of each record; a column
+    that ``df`` lacks is null.  Rows of other or null splits, null texts and texts without
+    words take no part; repeated rows are members each.
     """
     split = F.lower(F.trim(F.col(split_col)))
-    rows = df.where(split.isin(*train, *held)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), split.isin(*held).alias("held"))
-    forms = with_forms(rows, "id", "text", "held")
+    given = lambda c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    told = (split.isin(*held).alias("held"), split.alias("split"), given(source_col).alias("source"), spelt(given(label_col)).alias("label"))
+    rows = df.where(split.isin(*train, *held)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *told)
+    forms = with_forms(rows, "id", "text", "held", "split", "source", "label")
     base = written(forms, "split-forms")
     classes = base.groupBy("root", "form").agg(F.min("id").alias("cid"), F.bool_or(~F.col("held")).alias("train"), F.bool_or("held").alias("held"))
     classes = written(classes, "split-classes")
@@ -222,7 +232,7 @@ def split_overlaps(df: DataFrame, id_col: str = "row_id", text_col: str = "text"
     pairs = pairs.join(train_texts, "ca").join(held_texts, "cb")
     same = classes.where("train AND held").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"), F.lit(1.0).alias("overlap"), F.lit(0.0).alias("difference"))
     links = _verify(pairs, counts, most).unionByName(same)
-    members = base.select("id", "root", "held").join(classes.select("root", "cid"), "root").select("id", "cid", "held")
+    members = base.select("id", "root", "held", "split", "source", "label").join(classes.select("root", "cid"), "root").select("id", "cid", "held", "split", "source", "label")
     return links, members
 
 
@@ -231,3 +241,43 @@ def row_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     a = members.where(~F.col("held")).select(F.col("cid").alias("ca"), F.col("id").alias("ia"))
     b = members.where("held").select(F.col("cid").alias("cb"), F.col("id").alias("ib"))
     return links.select("ca", "cb").join(a, "ca").join(b, "cb").select(F.least("ia", "ib").alias("row_id_a"), F.greatest("ia", "ib").alias("row_id_b"))
+
+
+def overlaps(links: DataFrame) -> DataFrame:
+    """``(record_a, record_b, overlap, difference)`` of every two linked records: of the training split and of a held-out one.
+
+    A record goes by its smallest row id; ``overlap`` is the share of the longer record's words in shared chunks.
+    """
+    return links.select(F.col("ca").alias("record_a"), F.col("cb").alias("record_b"), "overlap", "difference")
+
+
+def conflicts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Every two rows of linked records whose labels are both given and not the same: the training row ``a``, the held-out row ``b``."""
+
+    def side(held: bool, end: str) -> DataFrame:
+        rows = members.where((F.col("held") == held) & F.col("label").isNotNull())
+        return rows.select(F.col("cid").alias(f"c{end}"), F.col("id").alias(f"row_id_{end}"), *(F.col(c).alias(f"{c}_{end}") for c in ("split", "source", "label")))
+
+    both = links.select("ca", "cb").join(side(False, "a"), "ca").join(side(True, "b"), "cb").where("label_a <> label_b")
+    return both.select("row_id_a", "row_id_b", *(f"{c}_{end}" for c in ("split", "source", "label") for end in "ab"))
+
+
+def split_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``(split_name, source, n_rows, overlapping, pairs, conflicts)`` of each split and source, a null source being one.
+
+    ``n_rows`` are the rows that take part, ``overlapping`` those with a row on the other
+    side, ``pairs`` their pairs of rows, and ``conflicts`` those whose labels are both
+    given and not the same.  A pair counts once in its training row's split and source
+    and once in its held-out row's.  Rows are counted by record before the join.
+    """
+    rows = members.groupBy("cid", "held", "split", "source", "label").agg(F.count("*").alias("n"))
+    by = members.groupBy("cid", "held", "label").agg(F.count("*").alias("m")).withColumnsRenamed({"cid": "other", "label": "with"})
+    ends = links.select(F.col("ca").alias("cid"), F.col("cb").alias("other"), F.lit(False).alias("side")).unionByName(links.select(F.col("cb").alias("cid"), F.col("ca").alias("other"), F.lit(True).alias("side")))
+    seen = ends.join(by, (ends["other"] == by["other"]) & (ends["side"] != by["held"])).groupBy("cid", "side", "with").agg(F.sum("m").alias("m"))
+    # the links of a record by the label on the other side
+    per = seen.groupBy("cid", F.col("side").alias("held")).agg(F.sum("m").alias("pairs"), F.sum(F.when(F.col("with").isNotNull(), F.col("m")).otherwise(0)).alias("labelled"))
+    same = seen.where(F.col("with").isNotNull()).select("cid", F.col("side").alias("held"), F.col("with").alias("label"), F.col("m").alias("agree"))
+    n = F.col("n")
+    out = rows.join(per, ["cid", "held"], "left").join(same, ["cid", "held", "label"], "left")
+    clash = F.when(F.col("label").isNotNull(), n * (F.coalesce("labelled", F.lit(0)) - F.coalesce("agree", F.lit(0)))).otherwise(0)
+    return out.groupBy(F.col("split").alias("split_name"), "source").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("pairs").isNotNull(), n).otherwise(0)).alias("overlapping"), F.sum(n * F.coalesce("pairs", F.lit(0))).alias("pairs"), F.sum(clash).alias("conflicts"))

@@ -90,3 +90,16 @@ def test_pairs_against_brute_force(spark, vocabulary):
 
 def test_no_pairs_of_nothing(spark):
     assert splits.row_pairs(*splits.split_overlaps(table(spark, []))).count() == 0
+
+
+def test_counts_conflicts_and_overlaps(spark):
+    rows = [(1, "one two three four", "train", "sms", "1"), (2, "One two three four!", "train", None, "legit"), (3, "one two three four", "test", "sms", " Phishing"), (4, "one two three four", "validation", "chat", None)]
+    rows += [(5, "a b c d e f g h i j", "train", "sms", "0"), (6, "a b c d e f g h i k", "test", "sms", "1 "), (7, "quite another text", "test", "sms", "1"), (8, "one two three four", "other", "sms", "0")]
+    df = spark.createDataFrame(rows, "row_id BIGINT, text STRING, split_name STRING, source STRING, label STRING")
+    links, members = splits.split_overlaps(df)
+    assert {tuple(r) for r in splits.conflicts(links, members).collect()} == {(2, 3, "train", "test", None, "sms", "0", "1"), (5, 6, "train", "test", "sms", "sms", "0", "1")}
+    assert {tuple(r) for r in splits.split_counts(links, members).collect()} == {
+        ("train", "sms", 2, 2, 3, 1), ("train", None, 1, 1, 2, 1), ("test", "sms", 3, 2, 3, 2), ("validation", "chat", 1, 1, 2, 0),
+    }
+    assert {(r.record_a, r.record_b, r.difference) for r in splits.overlaps(links).collect()} == {(1, 1, 0.0), (5, 6, 0.1)}
+    assert all(0 <= r.overlap <= 1 for r in splits.overlaps(links).collect())
