@@ -7,7 +7,13 @@ writes it partitioned by tag, ``child_table`` applies a tag's schema.
 
 Keys: a detection is ``(id, det_no)``; a signal, subdomain or hop is
 ``(id, det_no, child_no)`` and its parent is ``(id, det_no)``; an evidence group
-is ``(id, 0, child_no)`` and its parent is the log row ``id``.
+is ``(id, 0, child_no)``.  An assessment is ``id``, the parent of the detections
+and evidence groups of its log row; without one their parent is the log row.
+``p2_found`` has no assessments.
+
+``rest`` of a detection or assessment is the JSON of what has no column: unknown
+fields, and values that do not fit their column, with the objects around them;
+null if none.  What a hop leaves is in its detection's, by ``hop_no``.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAGS = ("detection", "signal", "subdomain", "hop", "evidence_group")
+TAGS = ("assessment", "detection", "signal", "subdomain", "hop", "evidence_group")
 DETECTION_FIELDS = frozenset(("alert", "risk_score", "match_type", "error_count", "context", "signals", "score_breakdown"))
 
 EMITTED = "id BIGINT, det_no BIGINT, child STRING, child_no BIGINT, value STRING, payload STRING"
@@ -27,13 +33,75 @@ _ARROW = pa.schema([("id", pa.int64()), ("det_no", pa.int64()), ("child", pa.str
 
 #: The schema of each tag's payload.
 PAYLOADS = {
-    "detection": "alert STRING, risk_score DOUBLE, match_type STRING, error_count INT, context STRING, match_layer STRING, pattern STRING, matched_text STRING, token_score DOUBLE, proximity_delta DOUBLE, url_multiplier DOUBLE, url_segment STRING, is_whitelisted BOOLEAN, penalty DOUBLE, anomaly_score DOUBLE, final_risk DOUBLE, url STRING",
+    "assessment": "global_risk DOUBLE, severity STRING, action_tier INT, is_clean BOOLEAN, evidence_count INT, rest STRING",
+    "detection": "alert STRING, risk_score DOUBLE, match_type STRING, error_count INT, context STRING, match_layer STRING, pattern STRING, matched_text STRING, token_score DOUBLE, proximity_delta DOUBLE, url_multiplier DOUBLE, url_segment STRING, is_whitelisted BOOLEAN, penalty DOUBLE, anomaly_score DOUBLE, final_risk DOUBLE, url STRING, engine_rev INT, root STRING, segment STRING, sld STRING, tld STRING, path STRING, query STRING, rest STRING",
     "signal": "value STRING",
     "subdomain": "value STRING",
     "hop": "url STRING, status INT",
     "evidence_group": "value STRING",
 }
 
+COLUMNS = {tag: dict(c.split() for c in ddl.split(", ")) for tag, ddl in PAYLOADS.items()}
+#: The columns that the inner objects of a detection fill.
+URL_COLUMNS, SEGMENT_COLUMNS = frozenset(("url", "segment")), frozenset(("sld", "tld", "path", "query"))
+
+
+def fits(kind: str | None, value: object) -> bool:
+    """Whether a column of this type keeps the value whole."""
+    if value is None:
+        return kind is not None
+    if kind == "STRING":
+        return not isinstance(value, (list, dict))
+    if kind == "BOOLEAN":
+        return isinstance(value, bool)
+    if isinstance(value, bool):
+        return False
+    if kind == "INT":
+        return isinstance(value, int) and -(1 << 31) <= value < 1 << 31
+    return kind == "DOUBLE" and (isinstance(value, float) or isinstance(value, int) and abs(value) <= 1 << 53)
+
+
+def parted(tag: str, record: dict, names: frozenset[str] | None = None, apart: tuple[str, ...] = ()) -> tuple[dict, dict]:
+    """The fields that have a column, and the others; ``apart`` are in neither."""
+    kinds = COLUMNS[tag]
+    own, rest = {}, {}
+    for k, v in record.items():
+        if k not in apart:
+            (own if k != "rest" and (names is None or k in names) and fits(kinds.get(k), v) else rest)[k] = v
+    return own, rest
+
+
+def flat_detection(det: dict) -> dict:
+    """The columns of a detection out of its nested objects; of two values for a column the outer counts, the other is in ``rest``."""
+    score, info = as_object(det.get("score_breakdown")), as_object(as_object(det.get("score_breakdown")).get("url_info"))
+    segments = as_object(info.get("segments"))
+    holds = lambda record, key: (key,) if key in record and (record[key] is None or isinstance(opened(record[key]), dict)) else ()
+    own, rest = parted("detection", det, apart=("signals", *holds(det, "score_breakdown")))
+    inner = parted("detection", score, apart=holds(score, "url_info"))
+    link = parted("detection", info, URL_COLUMNS, ("hops", *holds(info, "segments")))
+    part = parted("detection", segments, SEGMENT_COLUMNS, ("subdomains",))
+    out = dict(own)
+    for fields, left in (inner, link, part):
+        for k, v in fields.items():
+            if out.get(k) is None:
+                out[k] = v
+            elif v is not None and v != out[k]:
+                left[k] = v
+    hops = {str(k): left for k, x in enumerate(as_list(info.get("hops")), 1) if (left := parted("hop", as_object(x))[1])}
+    if hops:
+        link[1]["hops"] = hops
+    inside = part[1]
+    for key, left in (("segments", link[1]), ("url_info", inner[1]), ("score_breakdown", rest)):
+        if inside:
+            left[key] = inside
+        inside = left
+    return {**out, "rest": json.dumps(rest, ensure_ascii=False)} if rest else out
+
+
+def flat_object(tag: str, record: dict, apart: tuple[str, ...] = ()) -> dict:
+    own, rest = parted(tag, record, apart=apart)
+    return {**own, "rest": json.dumps(rest, ensure_ascii=False)} if rest else own
+
 
 def opened(value: object) -> object:
     """JSON held inside a JSON string counts as that JSON, however often it is wrapped."""
@@ -72,6 +140,8 @@ def visit(record: object, payload: bool = False) -> Iterator[tuple[str, int, int
     dump = (lambda d: json.dumps(d, ensure_ascii=False)) if payload else (lambda d: None)
     record = opened(record)
     if isinstance(record, dict) and ("detections" in record or not DETECTION_FIELDS & record.keys()):
+        if record:
+            yield "assessment", 0, 0, text_of(record.get("severity")), dump(flat_object("assessment", record, ("detections", "evidence_groups"))) if payload else None
         for k, group in enumerate(as_list(record.get("evidence_groups")), 1):
             if group is not None:
                 yield "evidence_group", 0, k, text_of(group), dump({"value": text_of(group)})
@@ -82,12 +152,8 @@ def visit(record: object, payload: bool = False) -> Iterator[tuple[str, int, int
         det = opened(det)
         if not isinstance(det, dict):
             continue
-        score = as_object(det.get("score_breakdown"))
-        info = as_object(score.get("url_info"))
-        flat = None
-        if payload:
-            flat = dump({k: v for k, v in {**score, "url": info.get("url"), **det}.items() if not isinstance(v, (list, dict))})
-        yield "detection", d, 0, text_of(det.get("match_type")), flat
+        info = as_object(as_object(det.get("score_breakdown")).get("url_info"))
+        yield "detection", d, 0, text_of(det.get("match_type")), dump(flat_detection(det)) if payload else None
         for k, x in enumerate(as_list(det.get("signals")), 1):
             if x is not None:
                 yield "signal", d, k, text_of(x), dump({"value": text_of(x)})
@@ -98,7 +164,7 @@ def visit(record: object, payload: bool = False) -> Iterator[tuple[str, int, int
             x = opened(x)
             url = x.get("url") if isinstance(x, dict) else x
             if x is not None:
-                yield "hop", d, k, text_of(url), dump(x if isinstance(x, dict) else {"url": text_of(x)})
+                yield "hop", d, k, text_of(url), dump(parted("hop", x)[0] if isinstance(x, dict) else {"url": text_of(x)}) if payload else None
 
 
 def flatten(df: DataFrame, id_col: str = "id", json_col: str = "detections_json", payload: bool = False) -> DataFrame:
@@ -106,7 +172,7 @@ def flatten(df: DataFrame, id_col: str = "id", json_col: str = "detections_json"
 
     Null, empty or broken JSON, and JSON that is a number or a truth value, gives
     no rows; a null key is kept as null; repeated rows are flattened each by
-    itself; unknown fields are ignored; other columns of ``df`` are not read.
+    itself; unknown fields are kept in ``rest``; other columns of ``df`` are not read.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +195,7 @@ def flatten(df: DataFrame, id_col: str = "id", json_col: str = "detections_json"
 
 
 def found(df: DataFrame) -> DataFrame:
-    return flatten(df).select("id", "det_no", "child", "child_no", "value")
+    return flatten(df).where("child <> 'assessment'").select("id", "det_no", "child", "child_no", "value")
 
 
 def child_table(emitted: DataFrame, tag: str) -> DataFrame:
@@ -137,8 +203,8 @@ def child_table(emitted: DataFrame, tag: str) -> DataFrame:
     if tag not in TAGS:
         raise ValueError(f"no such table: {tag}")
     rows = emitted.where(F.col("child") == tag)
-    keys = ["id"] if tag == "evidence_group" else ["id", "det_no"]
-    own = [] if tag == "detection" else [F.col("child_no").alias(f"{tag}_no")]
+    keys = ["id"] if tag in ("assessment", "evidence_group") else ["id", "det_no"]
+    own = [] if tag in ("assessment", "detection") else [F.col("child_no").alias(f"{tag}_no")]
     return rows.select(*keys, *own, F.from_json("payload", PAYLOADS[tag]).alias("p")).select(*keys, *([f"{tag}_no"] if own else []), "p.*")
 
 

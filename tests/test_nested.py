@@ -45,3 +45,18 @@ def test_write_tables(spark, tmp_path):
     df = spark.createDataFrame([(5, json.dumps([DET]))], "id BIGINT, detections_json STRING")
     ne.write_tables(ne.flatten(df), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).where("child = 'signal'").count() == 2
+
+
+def test_scalars_of_inner_objects_and_unknown_fields_are_kept(spark):
+    info = {"url": "u", "segment": "sld", "segments": {"subdomains": ["x"], "sld": "s", "tld": "t", "path": "/p", "query": "q", "port": 8}, "hops": [{"url": "h", "status": 301, "ms": 7}]}
+    det = {"match_type": "exact", "engine_rev": 3, "risk_score": "high", "extra": [1], "score_breakdown": {"root": "r", "url_info": info}}
+    around = {"detections": [det], "evidence_groups": ["money"], "global_risk": 1.5, "severity": "low", "action_tier": 1, "is_clean": False, "evidence_count": 1, "more": {"a": 1}}
+    df = spark.createDataFrame([(5, json.dumps(around)), (6, json.dumps([DET])), (7, "{}")], "id BIGINT, detections_json STRING")
+    out = ne.flatten(df, payload=True)
+    [a] = ne.child_table(out, "assessment").collect()
+    assert (a.id, a.global_risk, a.severity, a.action_tier, a.is_clean, a.evidence_count, json.loads(a.rest)) == (5, 1.5, "low", 1, False, 1, {"more": {"a": 1}})
+    d = {r.id: r for r in ne.child_table(out, "detection").collect()}
+    assert [d[5][c] for c in ("engine_rev", "root", "url", "segment", "sld", "tld", "path", "query")] == [3, "r", "u", "sld", "s", "t", "/p", "q"]
+    assert json.loads(d[5].rest) == {"risk_score": "high", "extra": [1], "score_breakdown": {"url_info": {"segments": {"port": 8}, "hops": {"1": {"ms": 7}}}}}
+    assert d[6].rest is None and d[5].risk_score is None
+    assert ne.found(df).where("child = 'assessment'").count() == 0
