@@ -193,6 +193,11 @@ def _(spark, d):
     return ms.labelled(table(spark, d, "labelled_csv"), most=200).select("row_id", "text", "is_positive")
 
 
+@query("src_labelled_whole", "SELECT row_id, coalesce(text, '') AS text, coalesce(lower(trim(label)) = '1', false) AS is_positive FROM labelled_csv")
+def _(spark, d):
+    return ms.labelled(table(spark, d, "labelled_csv")).select("row_id", "text", "is_positive")
+
+
 @query("src_profile", "SELECT label, count(*) AS n FROM labelled_csv GROUP BY label")
 def _(spark, d):
     return ms.profile(table(spark, d, "labelled_csv"))
