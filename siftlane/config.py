@@ -83,7 +83,10 @@ REASONS = {
 }
 
 DEFAULT_DICTIONARY = {
-    "brand_terms": "gcash maya paymaya paypal bdo bpi unionbank landbank metrobank seabank gotyme shopee lazada amazon grab bank viber telegram whatsapp".split(),
+    "brand_terms": [
+        "gcash", "maya", "paymaya", "paypal", "bdo", "bpi", "unionbank", "landbank", "metrobank", "seabank", "gotyme", "shopee", "lazada",
+        "amazon", "grab", "bank", "viber", "telegram", "whatsapp",
+    ],
     "action_terms": [
         "verify", "click here", "click", "login", "sign in", "register", "link", "update", "update payment", "confirm", "confirm identity",
         "activate", "reactivate", "restore", "unlock", "claim", "claim prize", "tap", "download", "urgent action", "buksan", "pindutin",

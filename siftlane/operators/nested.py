@@ -19,7 +19,9 @@ null if none.  What a hop leaves is in its detection's, by ``hop_no``.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +48,107 @@ COLUMNS = {tag: dict(c.split() for c in ddl.split(", ")) for tag, ddl in PAYLOAD
 URL_COLUMNS, SEGMENT_COLUMNS = frozenset(("url", "segment")), frozenset(("sld", "tld", "path", "query"))
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
+
+
+def deep_loads(text: str) -> object:
+    """``json.loads`` with an explicit stack, for records nested deeper than the interpreter's own stack."""
+    skip = lambda i: _BLANK.match(text, i).end()
+    top: list = []
+    stack: list[tuple[list | dict, str | None]] = [(top, None)]
+    i = skip(0)
+    wanted = True  # a value, or else a comma or the end of what is open
+    while True:
+        box, key = stack[-1]
+        ch = text[i : i + 1]
+        if wanted:
+            if ch in ("[", "{") and ch:
+                value: object = [] if ch == "[" else {}
+            elif ch == '"':
+                value, i = scanstring(text, i + 1)
+            elif m := _SCALAR.match(text, i):
+                value, i = json.loads(m[0]), m.end()
+            else:
+                raise ValueError(f"no JSON value at {i}")
+            if key is None:
+                box.append(value)
+            else:
+                box[key] = value
+            if isinstance(value, (list, dict)):
+                stack.append((value, None))
+                i = skip(i + 1)
+                if text[i : i + 1] == ("]" if isinstance(value, list) else "}"):
+                    stack.pop()
+                    i += 1
+                    wanted = False
+                elif isinstance(value, dict):
+                    i = _key(text, i, stack)
+                i = skip(i)
+                continue
+            wanted, i = False, skip(i)
+        elif box is top:
+            if i < len(text):
+                raise ValueError(f"more than one JSON value at {i}")
+            return top[0]
+        elif ch == ",":
+            i = skip(i + 1)
+            if isinstance(box, dict):
+                i = _key(text, i, stack)
+            wanted, i = True, skip(i)
+        elif ch and ch == ("]" if isinstance(box, list) else "}"):
+            stack.pop()
+            i = skip(i + 1)
+        else:
+            raise ValueError(f"no end of an array or object at {i}")
+
+
+def _key(text: str, i: int, stack: list) -> int:
+    """Puts the key at ``i`` on the open object; where its value begins."""
+    if text[i : i + 1] != '"':
+        raise ValueError(f"no JSON key at {i}")
+    key, i = scanstring(text, i + 1)
+    i = _BLANK.match(text, i).end()
+    if text[i : i + 1] != ":":
+        raise ValueError(f"no value of a JSON key at {i}")
+    stack[-1] = (stack[-1][0], key)
+    return i + 1
+
+
+def deep_dumps(value: object) -> str:
+    """``json.dumps`` with an explicit stack."""
+    out: list[str] = []
+    stack: list = [value]
+    text = type("Text", (str,), {})  # parts of the result, apart from strings to write
+    while stack:
+        x = stack.pop()
+        if isinstance(x, text):
+            out.append(x)
+        elif isinstance(x, (list, dict)) and x:
+            parts: list = []
+            for k, v in enumerate(x) if isinstance(x, list) else x.items():
+                parts += [text(", " if parts else "[" if isinstance(x, list) else "{"), *([] if isinstance(x, list) else [text(json.dumps(k, ensure_ascii=False) + ": ")]), v]
+            parts.append(text("]" if isinstance(x, list) else "}"))
+            stack += reversed(parts)
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
+def loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return deep_loads(text)
+
+
+def dumps(value: object) -> str:
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return deep_dumps(value)
+
+
 def fits(kind: str | None, value: object) -> bool:
     """Whether a column of this type keeps the value whole."""
     if value is None:
@@ -95,19 +198,19 @@ def flat_detection(det: dict) -> dict:
         if inside:
             left[key] = inside
         inside = left
-    return {**out, "rest": json.dumps(rest, ensure_ascii=False)} if rest else out
+    return {**out, "rest": dumps(rest)} if rest else out
 
 
 def flat_object(tag: str, record: dict, apart: tuple[str, ...] = ()) -> dict:
     own, rest = parted(tag, record, apart=apart)
-    return {**own, "rest": json.dumps(rest, ensure_ascii=False)} if rest else own
+    return {**own, "rest": dumps(rest)} if rest else own
 
 
 def opened(value: object) -> object:
     """JSON held inside a JSON string counts as that JSON, however often it is wrapped."""
     while isinstance(value, str) and value.lstrip()[:1] in ("[", "{", '"'):
         try:
-            inner = json.loads(value)
+            inner = loads(value)
         except ValueError:
             return value
         if not isinstance(inner, (str, list, dict)):
@@ -132,12 +235,12 @@ def as_object(value: object) -> dict:
 def text_of(value: object) -> str | None:
     if value is None or isinstance(value, str):
         return value
-    return json.dumps(value, ensure_ascii=False)
+    return dumps(value)
 
 
 def visit(record: object, payload: bool = False) -> Iterator[tuple[str, int, int, str | None, str | None]]:
     """Depth first: (tag, det_no, child_no, value, payload) of every element."""
-    dump = (lambda d: json.dumps(d, ensure_ascii=False)) if payload else (lambda d: None)
+    dump = dumps if payload else (lambda d: None)
     record = opened(record)
     if isinstance(record, dict) and ("detections" in record or not DETECTION_FIELDS & record.keys()):
         if record:
@@ -173,16 +276,16 @@ def flatten(df: DataFrame, id_col: str = "id", json_col: str = "detections_json"
     Null, empty or broken JSON, and JSON that is a number or a truth value, gives
     no rows; a null key is kept as null; repeated rows are flattened each by
     itself; unknown fields are kept in ``rest``; other columns of ``df`` are not read.
+    A record may be nested as deep as its text is long.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loads = json.loads
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     record = loads(text)
-                except (ValueError, RecursionError):
+                except ValueError:
                     continue
                 for tag, d, k, value, rest in visit(record, payload):
                     for col, x in zip(cols, (key, d, tag, k, value, rest)):

@@ -19,9 +19,6 @@ from siftlane.sources import dictionary as dc
 from siftlane.sources import messages as ms
 from siftlane.streaming import conversations as cv
 
-#: Shortened links of the test data, beside the usual ones.
-SHORTENERS = (*c.SHORTENERS, "tny.example", "go.putol.test", "ikli.example")
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,7 +35,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def engine(spark: SparkSession, d: str, **settings) -> c.EngineConfig:
-    return dc.engine(table(spark, d, "pattern_file"), shorteners=SHORTENERS, **settings)
+    return dc.engine(table(spark, d, "pattern_file"), shorteners=o.SHORTENERS, **settings)
 
 
 def logged(spark: SparkSession, d: str) -> DataFrame:
@@ -188,12 +185,7 @@ def _(spark, d):
 # --- sources ----------------------------------------------------------------
 
 
-@query("src_labelled", "SELECT row_id, substr(coalesce(text, ''), 1, 200) AS text, coalesce(lower(trim(label)) = '1', false) AS is_positive FROM labelled_csv")
-def _(spark, d):
-    return ms.labelled(table(spark, d, "labelled_csv"), most=200).select("row_id", "text", "is_positive")
-
-
-@query("src_labelled_whole", "SELECT row_id, coalesce(text, '') AS text, coalesce(lower(trim(label)) = '1', false) AS is_positive FROM labelled_csv")
+@query("src_labelled", "SELECT row_id, coalesce(text, '') AS text, coalesce(lower(trim(label)) = '1', false) AS is_positive FROM labelled_csv")
 def _(spark, d):
     return ms.labelled(table(spark, d, "labelled_csv")).select("row_id", "text", "is_positive")
 
@@ -370,6 +362,7 @@ def _(spark, d):
     r = table(spark, d, "resolutions")
     asked = r.where("url IS NOT NULL").select(F.col("url").alias("id"), F.col("url").alias("text")).distinct()
     info = aa.with_url_info(asked, engine(spark, d), r).select("url_info.*")
+    # The names of the classes.
     names = {"shortener": "Unresolved shortened link", "lookalike": "Lookalike domain", "subdomain": "Brand in subdomain", "path": "Keyword in path", "query": "Keyword in query", "sld": "Brand owns the domain", "none": "No risk signal"}
     told = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("segment"))
     return info.select(F.when(F.col("is_whitelisted"), "Official (whitelisted)").otherwise(told).alias("class")).groupBy("class").agg(F.count("*").alias("n"))

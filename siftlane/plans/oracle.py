@@ -4,6 +4,16 @@
 ``pattern_file``; each query's SQL selects from it.
 """
 
+from siftlane import config as c
+
+#: Shortened links of the test data, beside the usual ones.
+SHORTENERS = (*c.SHORTENERS, "tny.example", "go.putol.test", "ikli.example")
+
+
+def quoted(words: tuple[str, ...]) -> str:
+    return ",".join(f"'{w}'" for w in words)
+
+
 NORM = "translate(lower({}), '@013$45vfj', 'aoiesasbpg')"
 W = r"[\p{L}\p{N}_]"
 #: Text for link matching: other scripts' letters become word characters that are no ASCII letters, all blanks plain.
@@ -13,8 +23,8 @@ URL_LIKE = r"\b(?:https?://|www\.)\S+|\b(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/\S*)?"
 STRIP = r"regexp_replace({}, '^[\s\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g')"
 OBFUSCATED = r"regexp_matches(lower({}), '(^|[^\p{{L}}\p{{N}}_])[a-z]+[0-9@$]+[a-z]+($|[^\p{{L}}\p{{N}}_])')"
 
-SHORT = "'bit.ly','tinyurl.com','goo.gl','ow.ly','t.co','rb.gy','cutt.ly','shorturl.pos','is.gd','buff.ly','bitly.com','tny.example','go.putol.test','ikli.example'"
-LEGIT = "'gcash.com','maya.ph','paymaya.com','seabank.com.ph','gotyme.com.ph','bdo.com.ph','bpi.com.ph','unionbankph.com','landbank.com','metrobank.com.ph','shopee.ph','lazada.com.ph','grab.com','viber.com','telegram.org','paypal.com','amazon.com','whatsapp.com','paypal.me','lazada.com'"
+SHORT = quoted(SHORTENERS)
+LEGIT = quoted(c.LEGITIMATE)
 
 DICT = """dict AS (
   SELECT row_number() OVER (ORDER BY idx) - 1 AS j, category, pattern, translate(lower(pattern), '@013$45vfj', 'aoiesasbpg') AS norm,
@@ -34,9 +44,9 @@ bounded AS (SELECT id, j, p - 1 AS first, p + len - 2 AS last, w AS matched, CAS
 tok AS (SELECT id, text, n, regexp_extract_all(clean, '{W}(?:[\\p{{L}}\\p{{N}}_-]*{W})?') AS toks, string_split_regex(clean, '{W}(?:[\\p{{L}}\\p{{N}}_-]*{W})?') AS gaps FROM clean),
 tok1 AS (SELECT id, toks[k] AS token, list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(toks[1:k-1], lambda x: length(x))), 0) AS pos FROM tok, unnest(range(1, len(toks) + 1)) AS t(k)),
 pre AS (SELECT *, replace(lower(token), '-', '') AS word FROM tok1),
-cut AS (SELECT *, CASE {" ".join(f"WHEN starts_with(word, '{x}') AND length(word) > {len(x) + 2} THEN substr(word, {len(x) + 1})" for x in ('nakaka', 'pinaka', 'magpa', 'nag', 'mag', 'pag', 'na', 'ma', 'pa', 'ka', 'in', 'i'))} ELSE word END AS r0 FROM pre),
+cut AS (SELECT *, CASE {" ".join(f"WHEN starts_with(word, '{x}') AND length(word) > {len(x) + 2} THEN substr(word, {len(x) + 1})" for x in c.PREFIXES)} ELSE word END AS r0 FROM pre),
 roots AS (SELECT DISTINCT substr(a.norm, 1, k) AS root, b.j FROM dict a, unnest(range(1, length(a.norm) + 1)) AS t(k), dict b WHERE ends_with(substr(a.norm, 1, k), b.norm)),
-stems AS (SELECT *, list_filter([{", ".join(f"CASE WHEN ends_with(r0, '{x}') AND length(r0) - {len(x)} >= 4 THEN substr(r0, 1, length(r0) - {len(x)}) END" for x in ('han', 'hin', 'in', 'an'))}], lambda x: x IS NOT NULL) AS st FROM cut),
+stems AS (SELECT *, list_filter([{", ".join(f"CASE WHEN ends_with(r0, '{x}') AND length(r0) - {len(x)} >= 4 THEN substr(r0, 1, length(r0) - {len(x)}) END" for x in c.SUFFIXES)}], lambda x: x IS NOT NULL) AS st FROM cut),
 known AS (SELECT list(DISTINCT root) AS ks FROM roots),
 rooted AS (SELECT id, token, pos, word, coalesce(list_filter(st, lambda x: list_contains(ks, translate(x, '@013$45vfj', 'aoiesasbpg')))[1], st[1], r0) AS root FROM stems, known),
 affix AS (SELECT id, j, pos AS first, pos + length(token) - 1 AS last, token AS matched, r.root FROM rooted r JOIN roots k ON translate(r.root, '@013$45vfj', 'aoiesasbpg') = k.root WHERE r.root <> r.word),
@@ -45,11 +55,11 @@ hits AS (
   UNION ALL SELECT id, 'fuzzy', j, errors, first, last, last, matched, NULL FROM bounded WHERE errors > 0
   UNION ALL SELECT id, 'affix', j, 0, first, last, first, matched, root FROM affix)"""
 
-BOOST = "'urgent','click','verify','blocked','login','confirm','suspend','limited','action','immediately','warning','alert','i-verify','i-click','na-block','kumpirmahin','agad','panganib','mag-login','ibigay','ipadala','ipasok'"
-NEUTRAL = "'official','help','customer','support','hotline','representative','authorized','service','policy','advisory','reminder','notice','maintenance','legitimate','transaction','ignore','never','opisyal','tulong','serbisyo','awtorisado','lehitimo','paalala','babala','abiso','huwag','wag','pansin','ingat','transaksyon'"
+BOOST = quoted(c.BOOSTERS)
+NEUTRAL = quoted(c.NEUTRALIZERS)
 
 PROXIMITY = f"""
-terms AS (SELECT k, [{BOOST},{NEUTRAL}][k] AS term, CASE WHEN k <= 22 THEN 1.0 ELSE -2.5 END::DOUBLE AS w FROM unnest(range(1, 53)) AS t(k)),
+terms AS (SELECT k, [{BOOST},{NEUTRAL}][k] AS term, CASE WHEN k <= {len(c.BOOSTERS)} THEN 1.0 ELSE -2.5 END::DOUBLE AS w FROM unnest(range(1, {len(c.BOOSTERS) + len(c.NEUTRALIZERS) + 1})) AS t(k)),
 hitmsg AS (SELECT id, low, n FROM clean WHERE id IN (SELECT id FROM hits)),
 occ AS (SELECT id, k, w, length(term) AS size, p - 1 AS pos FROM (SELECT h.id, h.low, k, w, term, unnest(range(1, h.n - length(term) + 2)) AS p FROM hitmsg h JOIN terms ON contains(h.low, term)) WHERE substr(low, p, length(term)) = term),
 delta0 AS (SELECT h.id, h.layer, h.j, h.first, h.pos, list(o.w / (abs(o.pos - h.pos) + 1) ORDER BY o.k, o.pos) AS xs
@@ -94,8 +104,6 @@ def any_of(text: str, terms: tuple[str, ...]) -> str:
 
 def anomaly(source: str, key: str, text: str) -> str:
     """``anom(id, score, signals)``."""
-    from siftlane import config as c
-
     steps = [
         (any_of("nm", c.URGENCY_TERMS), 0.22, "urgency language"), (any_of("nm", c.ACTION_TERMS), 0.20, "action request"), (any_of("nm", c.SENSITIVE_TERMS), 0.28, "credential or payment language"),
         (any_of("nm", c.BENIGN_TERMS), -0.18, "benign context"), (f"regexp_matches({ASCIIED.format('nm')}, '{URL_LIKE}', 'i')", 0.18, "URL-like text"),

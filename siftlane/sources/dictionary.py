@@ -95,7 +95,10 @@ def engine_from_file(spark: SparkSession, path: str, **settings) -> c.EngineConf
 
 
 def save(patterns: DataFrame, path: str) -> None:
-    """Writes a pattern text; the dictionary is small."""
-    blocks = [r["block"] for r in to_text(patterns).orderBy("first_idx").limit(MAX_PATTERNS).collect()]
+    """Writes a pattern text; the dictionary is small, and more than ``MAX_PATTERNS`` are an error."""
+    if patterns.count() > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns; a pattern text is written by the driver")
+    blocks = [r["block"] for r in to_text(patterns).orderBy("first_idx").collect()]
+    # The lines at the head of a pattern text.
     head = "# Categorized phishing ruleset\n# One pattern per line within each category\n\n"
     Path(path).write_text(head + "\n".join(blocks).rstrip() + "\n", encoding="utf-8")

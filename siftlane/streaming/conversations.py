@@ -17,6 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 HORIZON, KEEP = 900, 10
 BUCKET = 6 * 3600
 ACK = "ACK_BLOCK"
+#: A message up to so many seconds late sees its whole window; a chat's state holds so many messages, and is dropped when idle so long.
+LATE, REMEMBERED, IDLE_MS = 900, 200, 3_600_000
 
 
 def rolling(df: DataFrame, chat: str = "chat_id", ts: str = "ts", tier: str = "action_tier", order: str = "id", escalate: bool = False) -> DataFrame:
@@ -53,30 +55,33 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         state.remove()
         return
     times, tiers, acknowledged = state.get if state.exists else ([], [], False)
-    times, tiers = list(times), list(tiers)
+    seen = list(zip(times, tiers))
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     out = []
     for r in rows.itertuples():
         if r.text == ACK:
             acknowledged = True
             continue
-        kept = [(a, b) for a, b in zip(times, tiers) if a >= r.ts - HORIZON][-(KEEP - 1) :] + [(r.ts, int(r.action_tier))]
-        times, tiers = [a for a, _ in kept], [b for _, b in kept]
+        tier = 0 if pd.isna(r.action_tier) else int(r.action_tier)
+        window = [b for a, b in seen if r.ts - HORIZON <= a <= r.ts][-(KEEP - 1) :] + [tier]
+        seen = sorted([*seen, (r.ts, tier)], key=lambda x: x[0])
+        seen = [x for x in seen if x[0] >= seen[-1][0] - HORIZON - LATE][-REMEMBERED:]
         acknowledged = False  # any further message takes an acknowledgement back
-        out.append((key[0], r.event_id, r.ts, int(r.action_tier), len(kept), max(tiers), acknowledged))
-    state.update((times, tiers, acknowledged))
-    if times:
-        state.setTimeoutTimestamp(max(int((max(times) + HORIZON) * 1000), state.getCurrentWatermarkMs() + 1))
+        out.append((key[0], r.event_id, r.ts, tier, len(window), max(window), acknowledged))
+    state.update(([a for a, _ in seen], [b for _, b in seen], acknowledged))
+    state.setTimeoutTimestamp(max(int(rows["arrived"].max() * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
     yield pd.DataFrame(out, columns=["chat", "event_id", "ts", "action_tier", "window_messages", "window_max_tier", "acknowledged"])
 
 
-def stateful(events: DataFrame, watermark: str = "15 minutes") -> DataFrame:
+def stateful(events: DataFrame) -> DataFrame:
     """The same rolling state over a stream of ``(chat, event_id, at TIMESTAMP, text, action_tier)``.
 
-    Events later than the watermark are dropped from the state's timing, not from the
-    output; a chat's state is removed when its horizon has passed.
+    Every message comes out, however late: the watermark, which only ends idle states, is on
+    the time of arrival, so it never drops a message.  One up to ``LATE`` seconds late is judged by the messages before it; a later one by those
+    that the state still holds.  A null tier counts as 0, a null text as any text.
     """
-    src = events.withColumn("ts", F.col("at").cast("double")).withWatermark("at", watermark)
+    now = F.current_timestamp()
+    src = events.withColumn("ts", F.col("at").cast("double")).withColumn("seen_at", now).withColumn("arrived", now.cast("double")).withWatermark("seen_at", "0 seconds")
     return src.groupBy("chat").applyInPandasWithState(_fold, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -22,6 +23,24 @@ def test_rolling_against_brute_force(spark):
         assert got[i] == (len(seen), max(seen), max(own, 3) if sum(a >= 2 for a in seen) >= 2 else own)
 
 
+def test_late_events_and_null_tiers_come_out(spark, tmp_path):
+    """One file a micro-batch; the fourth event is a day late, the fifth a little."""
+    src = tmp_path / "in"
+    at = lambda s: dt.datetime(2025, 1, 2) + dt.timedelta(seconds=s)
+    schema = "chat STRING, event_id LONG, at TIMESTAMP, text STRING, action_tier INT"
+    for k, row in enumerate([("a", 1, at(0), "x", 2), ("a", 2, at(600), "y", None), ("a", 3, at(1500), "z", 1), ("a", 4, at(-86_400), "late", 3), ("a", 5, at(700), None, 1)]):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        src.mkdir(exist_ok=True)
+        [part] = (tmp_path / f"p{k}").glob("*.parquet")
+        os.utime(part, (1_000_000 + k, 1_000_000 + k))
+        part.rename(src / f"{k}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = cv.stateful(stream).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.event_id: (r.action_tier, r.window_messages, r.window_max_tier) for r in spark.table("late").collect()}
+    assert got == {1: (2, 1, 2), 2: (0, 2, 2), 3: (1, 2, 1), 4: (3, 1, 3), 5: (1, 3, 2)}
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     at = lambda s: dt.datetime(2025, 1, 1) + dt.timedelta(seconds=s)

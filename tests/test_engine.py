@@ -175,6 +175,6 @@ def test_labelled_texts_are_whole_unless_cut_on_demand(spark, tmp_path):
 
     df = spark.createDataFrame([(1, "ab" * 300, " 1"), (2, None, None)], "row_id BIGINT, text STRING, label STRING")
     df.write.parquet(f"{tmp_path}/labelled_csv.parquet")
-    got = {tuple(r) for r in engine.QUERIES["src_labelled_whole"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in engine.QUERIES["src_labelled"](spark, str(tmp_path)).collect()}
     assert got == {(1, "ab" * 300, True), (2, "", False)}
     assert {r.row_id: r.text for r in messages.labelled(df, most=5).collect()} == {1: "ababa", 2: ""}

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from siftlane.operators import nested as ne
 
 DET = {"match_type": "exact", "risk_score": 1.5, "signals": ["a", "b"], "score_breakdown": {"pattern": "p", "url_info": {"url": "u", "segments": {"subdomains": ["x", "y"]}, "hops": [{"url": "h1", "status": 301}]}}}
@@ -33,6 +35,28 @@ def test_deep_nesting_does_not_crash(spark):
     assert found(spark, "[" * 100_000) == []
 
 
+def test_deep_records_are_kept(spark):
+    deep = "[" * 5000 + '"x"' + "]" * 5000
+    det = '{"match_type": "exact", "signals": ["a", ' + deep + '], "more": ' + '{"k": ' * 20_000 + "1" + "}" * 20_000 + "}"
+    rows = found(spark, f"[{det}]")
+    assert rows == [(0, 1, "detection", 0, "exact"), (0, 1, "signal", 1, "a"), (0, 1, "signal", 2, deep)]
+    df = spark.createDataFrame([(5, f"[{det}]")], "id BIGINT, detections_json STRING")
+    [row] = ne.flatten(df, payload=True).where("child = 'detection'").collect()
+    assert '{"k": ' * 20_000 in ne.deep_loads(row.payload)["rest"]
+
+
+@pytest.mark.parametrize("text", ["[1, -2.5e3, true, null, \"a\\u00e9\\n\"]", '{"a": {"b": []}, "c": {}, "d": [[], [{}]]}', " [ ] ", '"s"', "12"])
+def test_the_explicit_stack_reads_and_writes_the_same(text):
+    assert ne.deep_loads(text) == json.loads(text)
+    assert ne.deep_dumps(json.loads(text)) == json.dumps(json.loads(text), ensure_ascii=False)
+
+
+@pytest.mark.parametrize("text", ["", "[", "[1", "[1,]", '{"a"}', '{"a": }', '{"a": 1,}', "[1] 2", "]", "{1: 2}", '"open', "[1 2]"])
+def test_the_explicit_stack_rejects_broken_text(text):
+    with pytest.raises(ValueError):
+        ne.deep_loads(text)
+
+
 def test_child_tables_link_to_parents(spark):
     df = spark.createDataFrame([(5, json.dumps([DET]))], "id BIGINT, detections_json STRING")
     out = ne.flatten(df, payload=True)
