@@ -16,7 +16,9 @@ from functools import lru_cache
 
 import numpy as np
 
-TOP = 0x20000  # code points from here on (rare ideographs, tags) are plain letters to these rules
+TOP = 0x20000  # code points from here on (rare ideographs, tags) are plain letters, but for those in Tables.high
+#: Conjoining parts of Korean syllables: first code point and number of the leading, middle and closing ones; the first syllable.
+LEAD, MIDDLE, CLOSE, SYLLABLE = (0x1100, 19), (0x1161, 21), (0x11A8, 27), 0xAC00
 
 # Letters that look like a Latin letter, by script, as "foreign" -> "latin" in the same order.
 CYRILLIC_LIKE = ("аеосрухіјѕһԁԛԝӏАВЕЅІЈКМНОРСТУХԌԚԜҮ", "aeocpyxijshdqwlABESIJKMHOPCTYXGQWY")
@@ -115,6 +117,10 @@ class Tables:
         self.pair_to = np.array([*pairs.values()], np.uint32)[order]
         odd = [cp for cp in range(0x80, TOP) if self.flags[cp] & (COMPAT | MARK | ZERO | SPACE | GRK | GRKAMB | OTHERAMB)]
         odd += [cp for cp in range(0x20) if self.flags[cp] & SPACE]
+        odd += [cp for first, n in (MIDDLE, CLOSE) for cp in range(first, first + n)]
+        #: Ideographs from TOP on that are canonical twins of others.
+        self.high = {cp: ord(to) for cp in range(0x2F800, 0x2FA1E) if (to := ud.normalize("NFC", chr(cp))) != chr(cp)}
+        odd += self.high
         #: A text without any of these, and without both Latin and Cyrillic letters, is in the one form already.
         self.odd = frozenset(map(chr, odd))
         self.cyr = frozenset(map(chr, range(0x400, 0x530)))
@@ -145,6 +151,26 @@ def _or_by(run: np.ndarray, flags: np.ndarray, n_runs: int) -> np.ndarray:
     return np.bitwise_or.reduceat(flags, first) if n_runs else flags[:0]
 
 
+def _syllables(cps: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Korean syllables composed by rule: ``(code points, those that stay, those that were made)``."""
+    cps = cps.astype(np.int64)
+    stays, made = np.ones(len(cps), bool), np.zeros(len(cps), bool)
+    inside = lambda of: (cps >= of[0]) & (cps < of[0] + of[1])
+    next_to = np.append(row[1:] == row[:-1], False)
+    middle = np.append(inside(MIDDLE)[1:], False)
+    at = np.flatnonzero(inside(LEAD) & middle & next_to)
+    cps[at] = SYLLABLE + ((cps[at] - LEAD[0]) * MIDDLE[1] + cps[at + 1] - MIDDLE[0]) * (CLOSE[1] + 1)
+    made[at], stays[at + 1] = True, False
+    # a closing part behind a syllable without one, which may just have been made of two places
+    open_ = (cps >= SYLLABLE) & (cps < SYLLABLE + LEAD[1] * MIDDLE[1] * (CLOSE[1] + 1)) & ((cps - SYLLABLE) % (CLOSE[1] + 1) == 0)
+    for i in np.flatnonzero(inside(CLOSE)).tolist():
+        k = i - 1 if i and stays[i - 1] else i - 2
+        if k >= 0 and open_[k] and row[k] == row[i]:
+            cps[k] += cps[i] - CLOSE[0] + 1
+            made[k], stays[i], open_[k] = True, False, False
+    return cps.astype(np.uint32), stays, made
+
+
 def _unify(texts: list[str], t: Tables) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
     """The one form of each text, whether it held look-alikes, and where each of its characters stood; all texts are suspect."""
     n = len(texts)
@@ -153,6 +179,12 @@ def _unify(texts: list[str], t: Tables) -> tuple[list[str], np.ndarray, list[np.
     hit = np.zeros(n, bool)
     src = np.arange(len(cps))
     begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
+    high = np.flatnonzero(cps >= TOP)
+    if len(high):
+        cps = cps.copy()
+        twins = [t.high.get(x, x) for x in cps[high].tolist()]
+        hit[row[high[cps[high] != np.array(twins, np.uint32)]]] = True
+        cps[high] = twins
     low = np.minimum(cps, TOP - 1).astype(np.int64)
     low[cps >= TOP] = 0x4E00  # a letter like any ideograph; its own code point is kept
     fl = t.flags[low]
@@ -197,6 +229,11 @@ def _unify(texts: list[str], t: Tables) -> tuple[list[str], np.ndarray, list[np.
                 wide[put[i] : put[i] + size[i]] = t.many[int(cps[i])]
             row, src, cps = np.repeat(row, size), np.repeat(src, size), wide
 
+    if ((cps >= MIDDLE[0]) & (cps < CLOSE[0] + CLOSE[1])).any():
+        cps, stays, made = _syllables(cps, row)
+        hit[row[made]] = True
+        cps, row, src = cps[stays], row[stays], src[stays]
+
     # 4. combining marks: decompose, order by class within the cluster, recompose
     low = np.where(cps < TOP, cps, 0x4E00).astype(np.int64)
     mark = t.ccc[low] > 0

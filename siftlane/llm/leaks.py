@@ -9,6 +9,11 @@ most one word in ``ONE_IN`` replaced.  Such a stretch always holds an unbroken r
 of six words: of 20 words two at most are replaced, which leaves three runs with
 18 words, and likewise for longer stretches.  So no leak is missed.
 
+An item of fewer than ``MIN_WORDS`` words counts where it stands whole, with at most one
+word in ``ONE_IN`` replaced.  It has no window to spare: all its runs of ``K`` words (of as
+many as it has, if fewer) are compared with all those of the document.  With one word
+in eight replaced, and none at its ends, one of them is always unbroken.
+
 The held-out items are the stated query set: they are dealt into blocks of bounded
 size, and each block meets all documents in one narrow stage, without a shuffle.
 """
@@ -96,23 +101,33 @@ class Items:
         words = Words()
         self.ids = ids
         self.words = [words(x) for x in charforms.unify(texts)[0]]
-        prints, owners, places = [], [], []
+        found: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}  # by run length: 0 for the fingerprints of long items
         for i, w in enumerate(self.words):
-            at, h = winnow(w)
-            prints.append(h)
-            owners.append(np.full(len(at), i))
-            places.append(at)
-        h = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.prints, self.owner, self.place = h[order], np.concatenate(owners)[order] if prints else h, np.concatenate(places)[order] if prints else h
+            if len(w) >= MIN_WORDS:
+                found.setdefault(0, []).append((i, *winnow(w)))
+            elif len(w):
+                k = min(K, len(w))
+                h = grams(w, k)
+                found.setdefault(k, []).append((i, np.arange(len(h)), h))
+        #: ``(run length, sorted hashes, item and place of each)``.
+        self.indexes = []
+        for k, rows in sorted(found.items()):
+            h = np.concatenate([x for _, _, x in rows])
+            order = np.argsort(h, kind="stable")
+            owner = np.concatenate([np.full(len(x), i) for i, x, _ in rows])
+            self.indexes.append((k, h[order], owner[order], np.concatenate([x for _, x, _ in rows])[order]))
 
     def leaked(self, words: np.ndarray) -> list[int]:
-        at, h = winnow(words)
-        if not len(h) or not len(self.prints):
-            return []
-        lo = np.searchsorted(self.prints, h, "left")
-        hi = np.searchsorted(self.prints, h, "right")
-        diagonals = {(int(self.owner[j]), int(p) - int(self.place[j])) for p, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo]) for j in range(a, b)}
+        diagonals: set[tuple[int, int]] = set()
+        for k, prints, owner, place in self.indexes:
+            if k:
+                h = grams(words, k)
+                at = np.arange(len(h))
+            else:
+                at, h = winnow(words)
+            lo, hi = np.searchsorted(prints, h, "left"), np.searchsorted(prints, h, "right")
+            met = hi > lo
+            diagonals |= {(int(owner[j]), int(p) - int(place[j])) for p, a, b in zip(at[met], lo[met], hi[met]) for j in range(a, b)}
         out = set()
         for i, shift in diagonals:
             if i in out:
@@ -145,8 +160,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     """``(doc_id, item_id)`` of every document that holds a passage of an item.
 
     Null and empty texts hold and leak nothing; repeated documents count by themselves; an
-    item of fewer than ``MIN_WORDS`` words leaks where it stands whole (one word in eight may
-    differ); one shorter than ``K`` words has no fingerprint and is not searched.
+    item of fewer than ``MIN_WORDS`` words, down to one, leaks where it stands whole (one word
+    in eight may differ); one without any word leaks nowhere.
     """
     spark = docs.sparkSession
     src = docs.where(F.length(text) > 0).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

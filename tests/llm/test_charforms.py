@@ -30,6 +30,11 @@ from siftlane.llm import charforms as cf
         ("nɡ", "ng", True),
         ("g3ld", "g3ld", False),
         ("1º y 2ª", "1º y 2ª", False),
+        (ud.normalize("NFD", "한글 문서"), "한글 문서", True),
+        ("한글 문서", "한글 문서", False),
+        ("각 ᄀ ᅡᆨ", "각 ᄀ ᅡᆨ", True),
+        ("丽", "丽", True),
+        ("𠀁", "𠀁", False),
         ("", "", False),
         (None, None, False),
     ],
@@ -54,6 +59,12 @@ def test_once_is_enough_and_places_fit(texts):
             assert raw == form
 
 
+def test_all_korean_syllables_compose():
+    whole = "".join(chr(c) for c in range(0xAC00, 0xD7A4, 11))
+    out, _, places = cf.located([ud.normalize("NFD", whole), "x́"])
+    assert out[0] == whole and len(places[0]) == len(whole)
+
+
 def test_marks_recompose_as_the_standard_does():
     for base in "aeiouncAE":
         for marks in ("́", "̣́", "̣́", "̂́", "̧̌", "́́"):

@@ -74,13 +74,29 @@ def test_leaks(spark):
     docs += [(500, None), (501, ""), (502, docs[0][1])]
     want |= {(502, i) for d, i in want if d == 0}
     df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
-    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(90, None), (91, ""), (92, "too short")], "item_id BIGINT, text STRING")
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(90, None), (91, ""), (92, "too short"), (93, "...")], "item_id BIGINT, text STRING")
     assert {(r.doc_id, r.item_id) for r in lk.leaks(df, it).collect()} == want
     # the same in many blocks
     assert {(r.doc_id, r.item_id) for r in lk.leaks(df, it, block_chars=900).collect()} == want
     assert lk.leaks(df, it.limit(0)).count() == 0 and lk.leaks(df.limit(0), it).count() == 0
 
 
+@pytest.mark.parametrize("n", range(1, 20))
+def test_no_short_item_is_missed(n):
+    """Whole items of 1 to 19 words, with as many words replaced as may be, none at the ends."""
+    rnd = random.Random(n)
+    for _ in range(300):
+        item = words(rnd, n, "i")
+        piece = list(item)
+        for k in rnd.sample(range(1, n - 1), n // lk.ONE_IN) if n > 2 else ():
+            piece[k] = "other"
+        text = " ".join(words(rnd, rnd.randint(0, 30), "d") + piece + words(rnd, rnd.randint(0, 30), "d"))
+        block, w = lk.Items([7, 8], [" ".join(item), " ".join(words(rnd, 40, "z"))]), lk.Words()
+        assert block.leaked(w(text)) == [7]
+        if n > 1:
+            assert block.leaked(w(" ".join(item[:-1]))) == []
+
+
 def test_a_shared_run_always_shares_a_fingerprint():
     rnd = random.Random(4)
     for _ in range(200):
