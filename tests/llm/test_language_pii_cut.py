@@ -1,3 +1,5 @@
+import html
+import json
 import random
 from pathlib import Path
 
@@ -124,3 +126,50 @@ def test_endings_are_counted_exactly(spark):
     docs = [(i, "She asks for the number of a bus.", "free") for i in range(10)] + [(i, "We saw bsjzc.", "free") for i in range(10, 210)] + [(900, "She asks for the number of", "free"), (901, "We saw bsjzc", "free")]
     df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING, source STRING")
     assert {r.doc_id for r in ct.judged(df).collect() if r.cut} == {900}
+
+
+def test_lengths_by_encoding():
+    r = random.Random(1)
+    plain = {
+        "chars": len, "bytes": lambda t: len(t.encode("utf-8", "surrogatepass")), "utf16": lambda t: len(t) + sum(c > "\uffff" for c in t), "html": lambda t: len(html.escape(t)),
+        "json": lambda t: len(json.dumps(t, ensure_ascii=False)) - 2, "json_ascii": lambda t: len(json.dumps(t)) - 2, "crlf": lambda t: len(t.replace("\n", "\r\n")),
+    }
+    for _ in range(2000):
+        t = "".join(r.choice("ab\"'&<>\\\n\r\t\b\f\x00\x1f\x7f\x0b é中🙏\ud800") for _ in range(r.randint(0, 12)))
+        assert {k: f(t) for k, f in plain.items()} == {k: ct.MEASURES[k](t) for k in plain}
+
+
+def test_n_grams_are_those_of_a_plain_count():
+    """Against a loop over the words, sentence by sentence."""
+    speech = ct.Speech(frozenset("my aunt waits for the bus near market clerk asks ok".split()))
+    texts = ["My aunt waits. The clerk asks for\nthe bus", "The bus 🙏 near\nOk", "- my aunt\n\nWaits … for", "", "aunt"]
+    got = {k: (e, g) for k, e, g in zip(*(x.tolist() for x in ct.ending_counts(texts, [False, False, False, False, True], speech)))}
+    want = {}
+
+    def count(words, ends):
+        ids = [ct.np.uint64(ct._START) if w == "^" else ct.np.uint64(speech.shape[speech.numbers([w])[0]]) for w in reversed(words)]
+        gram = ids[0]
+        for k, x in enumerate(ids):
+            gram = ct.joined(gram, x) if k else gram
+            e, g = want.get(int(gram.view(ct.np.int64)), (0, 0))
+            want[int(gram.view(ct.np.int64))] = (e + ends, g + 1 - ends)
+
+    for words, ends in [("^ My", 0), ("^ My aunt", 0), ("^ My aunt waits.", 1), ("^ The", 0), ("^ The clerk", 0), ("^ The clerk asks", 0), ("^ the", 0), ("^ the bus", 1), ("^ The", 0), ("^ The bus", 1), ("^ my", 0), ("^ my aunt", 1), ("^ Waits", 0), ("^ for", 1), ("^ The bus 🙏", 0), ("^ The bus 🙏 near", 1), ("^ Ok", 1)]:
+        count(words.split(), ends)
+    assert got == want
+
+
+def limited(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id BIGINT, source STRING, text STRING")
+    return {(r.source, r.bound) for r in ct.limits(ct.first_pass(df)).where("measure = 'chars'").collect()}
+
+
+def test_limits_anywhere(spark):
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n - 1)) + "x"
+    heap = [("a", text(120)) for _ in range(60)] + [("a", text(r.randint(20, 118))) for _ in range(200)]
+    one = heap + [("a", text(400))]  # one text that is longer
+    two = [("b", x) for _, x in heap] + [("b", text(300)) for _ in range(40)] + [("b", text(r.randint(130, 298))) for _ in range(150)]
+    free = [("c", text(r.randint(20, 400))) for _ in range(400)] + [("c", "the same long text of a campaign, sent again and again")] * 90
+    got = limited(spark, [(i, s, t) for i, (s, t) in enumerate(one + two + free)])
+    assert got == {("a", 120), ("b", 120), ("b", 300)}
