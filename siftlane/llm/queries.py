@@ -79,6 +79,11 @@ def p6_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return splits.overlaps(splits.split_overlaps(table(spark, d, "labelled_csv"))[0])
 
 
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """The record of every row that takes part, by its smallest row id."""
+    return splits.split_overlaps(table(spark, d, "labelled_csv"))[1].select(F.col("id").alias("row_id"), F.col("cid").alias("record"), F.col("split").alias("split_name"), "source", "label")
+
+
 def p6_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return splits.conflicts(*splits.split_overlaps(table(spark, d, "labelled_csv")))
 
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_masked": p5_masked,
     "p6_found": p6_found,
     "p6_overlaps": p6_overlaps,
+    "p6_members": p6_members,
     "p6_conflicts": p6_conflicts,
     "p6_counts": p6_counts,
     "p7_found": p7_found,

@@ -1,20 +1,25 @@
 """Same or nearly the same records in two splits (problem 6).
 
-Content-defined chunks: every record's common form is cut by the content itself.
-A word whose corpus frequency (estimated by a sketch over all records) is low is
-a chunk by itself; between such words the cut comes after a word whose hash is
-0 modulo ``CUT``.  Chunk digests are joined across the splits, shared chunk
-lengths are summed into the overlap fraction, and an exact word edit distance
-follows.
-
-No pair is missed: of the words of two records at most ``e`` differ, so of the
-``e + 1`` rarest words of each at least one is shared (prefix filter over one
-global order).  Only these ``e + 1`` one-word chunks of a record are joined.  The
-sketch only sets the order, so its collisions cost time, never a pair.
+Content-defined chunks: a rolling hash runs over the words of a record's common form
+from every word on, and cuts the chunk as soon as the corpus knows the run ``RARE``
+times at most (by a sketch of all runs), else after ``LONGEST`` words.  Where a chunk
+ends thus follows from its own words alone.  Chunk digests are joined across the
+splits, shared chunk lengths are summed into overlap fractions, and an exact word edit
+distance confirms.
+
+Chunks overlap, one for each word: of chunks side by side each edit breaks two or more,
+so that at 15 % of edits two like records need not share one.  Of these chunks an edit
+breaks those that cover it.  With ``D`` the most that a record's allowed edits can break
+and ``K`` chunks, ``K - D`` are shared with any like record; if that is positive, the
+rarest shared one is among the ``D + 1`` rarest of both (prefix filter over one global
+order), and only these are joined.  Records where it is not (the shortest) are cut at
+mean length one as well: of their words ``e + 1`` are joined.  So no pair is missed.
+The sketch only sets lengths and order: its collisions cost time, never a pair.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,60 +35,146 @@ from siftlane.llm.copies import with_forms
 from siftlane.session import written
 
 MAX_DIFFERENCE = 0.15
-#: Counters of the frequency sketch, 8 bytes each; the only thing sent to the driver and broadcast.
-SKETCH = 1 << 17
-CUT = 4
+#: Counters of the sketch of runs, 4 bytes each; the only thing sent to the driver and broadcast.
+SKETCH_BITS = 20
+SKETCH = 1 << SKETCH_BITS
+BLOCKS = 64
+#: A chunk is cut where its run of words is so rare, or so long.
+RARE, LONGEST = 8, 3
+#: A chunk met more often than this is dealt over one salt for each such number, up to a bound.
+HOT, MOST_SALTS = 2_000, 64
 
 
 def word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def rolled(words: np.ndarray, row: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(hash, whole)`` of the runs of 1 to ``LONGEST`` words from each word on; ``whole`` where the record has so many."""
+    out = [(mixed(words), np.ones(len(words), bool))]
+    h = words
+    for k in range(1, LONGEST):
+        h = h * _ODD
+        h[: len(h) - k] ^= words[k:]
+        whole = np.zeros(len(words), bool)
+        whole[: len(words) - k] = row[k:] == row[: len(row) - k]
+        out.append((mixed(h), whole))
+    return out
+
+
+def slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+class Hashes:
+    """Word hashes of many records at once, remembered up to a bound."""
+
+    def __init__(self, most: int = 300_000) -> None:
+        self.known: dict[str, int] = {}
+        self.most = most
+
+    def __call__(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(hash of each word, number of words of each record)``."""
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        flat: list[int] = []
+        sizes: list[int] = []
+        for form in forms:
+            words = cf.words_of_form(form)
+            sizes.append(len(words))
+            for w in words:
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = word_hash(w)
+                flat.append(h)
+        return np.array(flat, np.uint64), np.array(sizes, np.int64)
+
+
 def frequencies(forms: DataFrame) -> np.ndarray:
-    """Word counts of all records, hashed into ``SKETCH`` counters."""
+    """How often each run of 1 to ``LONGEST`` words stands in the records, hashed into ``SKETCH`` counters."""
+    per = SKETCH // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
+        hashes = Hashes()
         for batch in batches:
-            seen = Counter(w for form in batch.column(0).to_pylist() for w in cf.words_of_form(form))
-            slots = np.fromiter((word_hash(w) % SKETCH for w in seen), np.int64, len(seen))
-            np.add.at(total, slots, np.fromiter(seen.values(), np.int64, len(seen)))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
-
-    out = np.zeros(SKETCH, np.int64)
-    rows = forms.select("form").mapInArrow(count, "slot BIGINT, n BIGINT").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+            words, sizes = hashes(batch.column(0).to_pylist())
+            if len(words):
+                for h, whole in rolled(words, np.repeat(np.arange(len(sizes)), sizes)):
+                    total += np.bincount(slots(h[whole]), minlength=SKETCH)
+        packed = [zlib.compress(np.minimum(total[i * per : (i + 1) * per], 2**31 - 1).astype(np.int32).tobytes(), 1) for i in range(BLOCKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(packed, pa.binary())], ["block", "packed"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in rows["packed"].to_pylist())
+        return pa.table({"block": rows["block"][:1], "packed": pa.array([zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())})
+
+    kind = "block INT, packed BINARY"
+    out = np.zeros(SKETCH, np.int32)
+    for r in forms.select("form").mapInArrow(count, kind).groupBy("block").applyInArrow(added, kind).collect():  # BLOCKS rows
+        out[r["block"] * per : (r["block"] + 1) * per] = np.frombuffer(zlib.decompress(r["packed"]), np.int32)
     return out
 
 
-def chunks(form: str, counts: np.ndarray, rare: int) -> list[tuple[int, int]]:
-    """``(digest, length in words)`` of the chunks of a record."""
-    out: list[tuple[int, int]] = []
-    run: list[int] = []
-
-    def close() -> None:
-        if run:
-            out.append((xxhash.xxh3_64_intdigest(np.array(run, np.uint64).tobytes()), len(run)))
-            run.clear()
-
-    for w in cf.words_of_form(form):
-        h = word_hash(w)
-        if counts[h % SKETCH] <= rare:
-            close()
-            out.append((h, 1))
-        else:
-            run.append(h)
-            if (h >> 40) % CUT == 0:
-                close()
-    close()
-    return out
-
-
-def overlap(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
-    """Shared chunk lengths, over the length of the longer record."""
-    shared = Counter(a) & Counter(b)
-    return sum(size * n for (_, size), n in shared.items()) / max(1, sum(x for _, x in a), sum(x for _, x in b))
+class Chunks:
+    """The chunks of many records: ``start``, ``size``, ``digest`` and corpus ``count`` of each, ``row`` its record."""
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> None:
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        self.size = np.zeros(len(words), np.int64)
+        self.digest = np.zeros(len(words), np.uint64)
+        self.count = np.zeros(len(words), np.int64)
+        for k, (h, whole) in enumerate(rolled(words, row), 1):
+            met = counts[slots(h)]
+            here = whole & (self.size == 0) & ((met <= RARE) | (k == LONGEST))
+            self.size[here], self.digest[here], self.count[here] = k, h[here], met[here]
+        kept = self.size > 0  # the last words of a record open none if they are common
+        self.start = np.flatnonzero(kept)
+        self.size, self.digest, self.count, self.row = self.size[kept], self.digest[kept], self.count[kept], row[kept]
+
+    def covering(self, n: int) -> np.ndarray:
+        """How many chunks cover each of ``n`` words."""
+        step = np.zeros(n + 1, np.int64)
+        np.add.at(step, self.start, 1)
+        np.add.at(step, self.start + self.size, -1)
+        return np.cumsum(step[:-1])
+
+
+def ranks(group: np.ndarray) -> np.ndarray:
+    """The place of each entry within its run of equal values."""
+    here = np.arange(len(group))
+    begins = np.ones(len(group), bool)
+    begins[1:] = group[1:] != group[:-1]
+    return here - np.maximum.accumulate(np.where(begins, here, 0))
+
+
+def rarest(row: np.ndarray, digest: np.ndarray, count: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(entries, occurrence)``: the ``most[row]`` first of each record in the global order; the k-th time of a digest is an entry of its own."""
+    order = np.lexsort((digest, row))
+    nth = np.empty(len(row), np.int64)
+    nth[order] = ranks(np.stack([row[order].astype(np.uint64), digest[order]], 1).view("u8,u8").ravel()) if len(row) else nth
+    order = np.lexsort((digest, nth, count, row))
+    first = order[ranks(row[order]) < most[row[order]]]
+    return first, nth[first]
+
+
+def overlap(a: str, b: str, counts: np.ndarray) -> float:
+    """The share of the longer record's words that lie in chunks of the other record too."""
+    words, sizes = Hashes()([a, b])
+    c = Chunks(words, sizes, counts)
+    shared = np.isin(c.digest, np.intersect1d(c.digest[c.row == 0], c.digest[c.row == 1]))
+    c.start, c.size = c.start[shared], c.size[shared]
+    inside = c.covering(len(words)) > 0
+    return float(max(inside[: sizes[0]].sum(), inside[sizes[0] :].sum()) / max(1, sizes.max())) if sizes[0] != sizes[1] else float(inside[: sizes[0]].sum() / max(1, sizes[0]))
 
 
 def allowed(n: int, most: float = MAX_DIFFERENCE) -> int:
@@ -126,47 +217,61 @@ def distance(a: list[str], b: list[str], most: int) -> int:
     return score
 
 
-def _keys(classes: DataFrame, counts: np.ndarray, most: float) -> DataFrame:
-    """The ``e + 1`` rarest one-word chunks of each record; a repeated word counts by its occurrence.
+def prefixes(forms: list[str], counts: np.ndarray, most: float, hashes: Hashes) -> tuple[np.ndarray, ...]:
+    """``(record, key, size in words, corpus count)`` of the chunks that are joined, and the ``words, bits`` of each record.
 
-    With each go the record's length and 128 bits of its set of words, by which
-    unlike records part inside the join, before any text is fetched.
+    ``bits`` are 64 bits of its set of words.  Records of which no word may differ have none: like ones are the same.
+    """
+    words, sizes = hashes(forms)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    # of the longer of two like records
+    edits = (most * np.floor(sizes / (1 - most) + 1e-9) + 1e-9).astype(np.int64)
+    c = Chunks(words, sizes, counts)
+    covered = c.covering(len(words))
+    order = np.lexsort((-covered, row))
+    worst = ranks(row[order]) < edits[row[order]]
+    broken = np.bincount(row[order][worst], covered[order][worst], len(sizes)).astype(np.int64)
+    number = np.bincount(c.row, minlength=len(sizes))
+    live = edits[c.row] > 0
+    row_c, digest, size, count = c.row[live], c.digest[live], c.size[live], c.count[live]
+    at, nth = rarest(row_c, digest, count, broken + 1)
+    found = [(row_c[at], mixed(digest[at] + nth.astype(np.uint64) * _ODD), size[at], count[at])]
+    weak = (number <= broken) & (edits > 0)
+    if weak.any():
+        single = weak[row]
+        row_w, word = row[single], words[single]
+        met = counts[slots(mixed(word))]
+        at, nth = rarest(row_w, word, met, edits + 1)
+        found.append((row_w[at], mixed(mixed(word[at]) + nth.astype(np.uint64) * _ODD), np.ones(len(at), np.int64), met[at]))
+    bits = np.zeros(len(sizes), np.uint64)
+    np.bitwise_or.at(bits, row, np.uint64(1) << (words >> np.uint64(58)))
+    return *(np.concatenate(x) for x in zip(*found)), sizes, bits
+
+
+def _keys(classes: DataFrame, counts: np.ndarray, most: float, every_salt: bool) -> DataFrame:
+    """``(key, cid, size, n, bits)``: the chunks of each record that are joined.
+
+    With each go the record's length and bits, by which unlike records part inside the
+    join, before any text is fetched.  A hot chunk is dealt over salts by its record, or
+    stands once for each salt on the other side.
     """
     shared = classes.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value.tolist()
-        hashes: dict[str, int] = {}
+        hashes = Hashes()
         for batch in batches:
-            ids, keys, sizes, low, high = [], [], [], [], []
-            for cid, form in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = cf.words_of_form(form)
-                n = len(words)
-                seen: dict[int, int] = {}
-                marked = []
-                bits = 0
-                for w in words:
-                    x = hashes.get(w)
-                    if x is None:
-                        if len(hashes) > 200_000:
-                            hashes.clear()
-                        x = hashes[w] = word_hash(w)
-                    k = seen[x] = seen.get(x, 0) + 1
-                    bits |= 1 << (x >> 57)
-                    # the k-th occurrence orders behind the first at the same rarity
-                    marked.append((table[x % SKETCH], k, x))
-                marked.sort()
-                lo, hi = bits & 0xFFFFFFFFFFFFFFFF, bits >> 64
-                lo, hi = lo - ((lo >> 63) << 64), hi - ((hi >> 63) << 64)
-                top = marked[: allowed(int(n / (1 - most) + 1e-9), most) + 1]
-                keys += [(x * 0x9E3779B97F4A7C15 + k) % (1 << 63) for _, k, x in top]
-                ids += [cid] * len(top)
-                sizes += [n] * len(top)
-                low += [lo] * len(top)
-                high += [hi] * len(top)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["key", "cid", "n", "low", "high"])
-
-    return classes.select("cid", "form").mapInArrow(run, "key BIGINT, cid BIGINT, n INT, low BIGINT, high BIGINT")
+            ids = batch.column(0).to_numpy()
+            row, key, size, count, n, bits = prefixes(batch.column(1).to_pylist(), shared.value, most, hashes)
+            salts = np.clip(count // HOT, 1, MOST_SALTS)
+            if every_salt:
+                row, key, size = (np.repeat(x, salts) for x in (row, key, size))
+                salt = ranks(np.repeat(np.arange(len(salts)), salts))
+            else:
+                salt = (mixed(ids[row].astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
+            key = mixed(key + salt.astype(np.uint64) * _ODD)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(size.astype(np.int8)), pa.array(n[row].astype(np.int32)), pa.array(bits[row].view(np.int64))], ["key", "cid", "size", "n", "bits"])
+
+    return classes.select("cid", "form").mapInArrow(run, "key BIGINT, cid BIGINT, size TINYINT, n INT, bits BIGINT")
 
 
 def _verify(pairs: DataFrame, counts: np.ndarray, most: float) -> DataFrame:
@@ -174,8 +279,6 @@ def _verify(pairs: DataFrame, counts: np.ndarray, most: float) -> DataFrame:
     shared = pairs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        rare = max(8, int(np.percentile(table[table > 0], 90))) if (table > 0).any() else 8
         for batch in batches:
             a, b, over, diff = [], [], [], []
             for ca, cb, fa, fb in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -188,7 +291,7 @@ def _verify(pairs: DataFrame, counts: np.ndarray, most: float) -> DataFrame:
                 if d <= e:
                     a.append(ca)
                     b.append(cb)
-                    over.append(overlap(chunks(fa, table, rare), chunks(fb, table, rare)))
+                    over.append(overlap(fa, fb, shared.value))
                     diff.append(d / size)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(over, pa.float64()), pa.array(diff, pa.float64())], ["ca", "cb", "overlap", "difference"])
 
@@ -219,12 +322,12 @@ def split_overlaps(df: DataFrame, id_col: str = "row_id", text_col: str = "text"
     classes = base.groupBy("root", "form").agg(F.min("id").alias("cid"), F.bool_or(~F.col("held")).alias("train"), F.bool_or("held").alias("held"))
     classes = written(classes, "split-classes")
     counts = frequencies(classes)
-    left = _keys(classes.where("train"), counts, most).toDF("key", "ca", "na", "la", "ha")
-    right = _keys(classes.where("held"), counts, most).toDF("key", "cb", "nb", "lb", "hb")
+    left = _keys(classes.where("train"), counts, most, False).toDF("key", "ca", "sa", "na", "wa")
+    right = _keys(classes.where("held"), counts, most, True).toDF("key", "cb", "sb", "nb", "wb")
     edits = F.floor(most * F.greatest("na", "nb") + 1e-9)
     # each differing word changes two bits of the word sets at most
-    near = (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) + F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= 2 * edits)
-    pairs = left.join(right, "key").where(near & (F.col("ca") != F.col("cb"))).select("ca", "cb").distinct()
+    near = (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= 2 * edits)
+    pairs = left.join(right, "key").where(near & (F.col("ca") != F.col("cb"))).groupBy("ca", "cb").agg(F.sum("sa").alias("shared"))
     # the few pairs left are kept, so that fetching their texts does not run the join again
     pairs = written(pairs, "split-pairs")
     train_texts = classes.where("train").select(F.col("cid").alias("ca"), F.col("form").alias("fa"))

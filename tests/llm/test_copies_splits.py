@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from siftlane.llm import commonform as cf
@@ -103,3 +104,40 @@ def test_counts_conflicts_and_overlaps(spark):
     }
     assert {(r.record_a, r.record_b, r.difference) for r in splits.overlaps(links).collect()} == {(1, 1, 0.0), (5, 6, 0.1)}
     assert all(0 <= r.overlap <= 1 for r in splits.overlaps(links).collect())
+
+
+def test_no_shared_chunk_is_missed():
+    """Two like records share a joined chunk, whatever the corpus counts: common runs, rare ones, any mix."""
+    rnd = random.Random(8)
+    hashes = splits.Hashes()
+    for _ in range(1500):
+        vocabulary = [f"w{i}" for i in range(rnd.choice([2, 8, 300]))]
+        a = [rnd.choice(vocabulary) for _ in range(rnd.randint(7, 60))]
+        b = list(a)
+        e = splits.allowed(len(a))
+        for _ in range(rnd.randint(1, max(1, e))):
+            k = rnd.randrange(len(b))
+            b[k : k + 1] = rnd.choice([[], [rnd.choice(vocabulary)], [b[k], "more"], ["more", b[k]]])
+        if splits.distance(a, b, 99) > splits.allowed(max(len(a), len(b))) or a == b:
+            continue
+        counts = np.random.default_rng(rnd.randrange(10**6)).integers(0, rnd.choice([3, 20, 9000]), splits.SKETCH).astype(np.int32)
+        row, key, *_ = splits.prefixes([" ".join(a), " ".join(b)], counts, 0.15, hashes)
+        assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+
+
+def test_a_hot_chunk_is_dealt_over_salts(spark, monkeypatch):
+    """The pairs are the same when every chunk counts as hot."""
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(50)}" for _ in range(30)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            words[rnd.randrange(30)] = f"v{rnd.randrange(9)}"
+        rows.append((i, " ".join(words), "train" if i % 3 else "test"))
+    got = {(r.row_id_a, r.row_id_b) for r in splits.row_pairs(*splits.split_overlaps(table(spark, rows))).collect()}
+    keys, shared = splits._keys, []
+    monkeypatch.setattr(splits, "RARE", 1)
+    monkeypatch.setattr(splits, "_keys", lambda classes, counts, most, every: shared.append(counts) or keys(classes, np.maximum(counts, 3 * splits.HOT), most, every))
+    again = {(r.row_id_a, r.row_id_b) for r in splits.row_pairs(*splits.split_overlaps(table(spark, rows))).collect()}
+    assert again == got and len(shared) == 2
