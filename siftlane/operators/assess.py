@@ -1,7 +1,8 @@
 """From messages to assessments: scores, links, fallback, tiers, evidence, gate.
 
-``assess`` is one narrow plan: hits come from the matching stage, all numbers are
-columns.  Only the resolution of shortened links joins (with the lookup table
+``assess`` is one narrow plan: hits and their scores come from one Arrow stage
+(``scoring``), tiers and gates are columns; the scores as columns are kept as a check.
+Only the resolution of shortened links joins (with the lookup table
 ``resolutions``), and only the few messages that hold one take part in it.
 """
 
@@ -14,7 +15,7 @@ from siftlane import config as c
 from siftlane.functions import text as tx
 from siftlane.functions import urls as ux
 from siftlane.operators.matching import with_hits
-
+from siftlane.operators.scoring import scored
 
 
 def held(df: DataFrame, **columns: Column) -> DataFrame:
@@ -78,6 +79,16 @@ def worst(infos: Column) -> Column:
     )
 
 
+def with_known(df: DataFrame, cfg: c.EngineConfig, resolutions: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``_known``, the destinations of the first shortened links in ``_urls``: ``max_lookups`` a message."""
+    short = F.filter("_urls", lambda u: ux.is_shortener(ux.parts(u), cfg))
+    asked = df.select(key, F.slice(short, 1, cfg.max_lookups).alias("asked")).where(F.size("asked") > 0).select(key, F.explode("asked").alias("url"))
+    known = resolutions.where(F.col("destination").isNotNull()).groupBy("url").agg(F.min("destination").alias("destination"))
+    # max_lookups entries a message at most
+    found = asked.distinct().join(known, "url").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("url", "destination"))).alias("_known"))
+    return df.join(found, key, "left")
+
+
 def with_url_info(df: DataFrame, cfg: c.EngineConfig, resolutions: DataFrame | None = None, key: str = "id", text: str = "text") -> DataFrame:
     """``df`` with ``url_info``, the worst link of each message.
 
@@ -89,12 +100,7 @@ def with_url_info(df: DataFrame, cfg: c.EngineConfig, resolutions: DataFrame | N
     if resolutions is None:
         infos = F.transform("_urls", lambda u: classified(u, F.lit(None).cast("string"), cfg))
     else:
-        short = F.filter("_urls", lambda u: ux.is_shortener(ux.parts(u), cfg))
-        asked = df.select(key, F.slice(short, 1, cfg.max_lookups).alias("asked")).where(F.size("asked") > 0).select(key, F.explode("asked").alias("url"))
-        known = resolutions.where(F.col("destination").isNotNull()).groupBy("url").agg(F.min("destination").alias("destination"))
-        # three entries a message at most
-        found = asked.distinct().join(known, "url").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("url", "destination"))).alias("_known"))
-        df = df.join(found, key, "left")
+        df = with_known(df, cfg, resolutions, key)
         rank = F.transform("_urls", lambda u, i: F.struct(u.alias("u"), F.size(F.filter(F.slice("_urls", F.lit(1), i + 1), lambda v: ux.is_shortener(ux.parts(v), cfg))).alias("nth")))
         infos = F.transform(rank, lambda x: classified(x["u"], F.when(x["nth"] <= cfg.max_lookups, F.try_element_at(F.col("_known"), x["u"])), cfg))
     none = F.struct(
@@ -164,7 +170,17 @@ def _extra(text: Column, alert: str, risk: Column, kind: str, signals: Column, p
 
 
 def with_detections(df: DataFrame, cfg: c.EngineConfig, resolutions: DataFrame | None = None, key: str = "id", text: str = "text") -> DataFrame:
-    """``df`` with ``url_info``, ``anomaly`` and ``detections``; a null text counts as empty."""
+    """``df`` with ``url_info``, ``anomaly``, ``detections`` and what follows from them; a null text counts as empty."""
+    own = "_text"
+    df = df.withColumn(own, F.coalesce(F.col(text), F.lit("")))
+    if resolutions is None:
+        return scored(df, cfg, own)
+    df = with_known(held(df, _urls=tx.urls(F.col(own))), cfg, resolutions, key).drop("_urls")
+    return scored(df, cfg, own, "_known").drop("_known")
+
+
+def with_detections_by_columns(df: DataFrame, cfg: c.EngineConfig, resolutions: DataFrame | None = None, key: str = "id", text: str = "text") -> DataFrame:
+    """The same as columns, for the check."""
     own = "_text"
     df = with_hits(df.withColumn(own, F.coalesce(F.col(text), F.lit(""))), cfg, own)
     df = with_url_info(df, cfg, resolutions, key, own)
@@ -182,7 +198,9 @@ def with_detections(df: DataFrame, cfg: c.EngineConfig, resolutions: DataFrame |
         .when(info["destination_risky"], F.array(_extra(t, "CRITICAL: Shortened link leads to a risky destination!", info["multiplier"], "url_shortener", F.array(F.lit("risky shortened-link destination")), "SHORTENED_LINK_DESTINATION", F.coalesce(info["expanded_url"], F.lit("")), info["multiplier"], info["segment"], none_d)))
         .otherwise(F.array())
     )
-    return held(df, detections=F.concat("_found", fallback, link), n_layer_hits=F.size("_found")).drop("_found", "hits", "terms")
+    df = held(df, detections=F.concat("_found", fallback, link), n_layer_hits=F.size("_found")).drop("_found", "hits", "terms")
+    found = F.col("detections")
+    return held(df, global_risk=F.coalesce(F.array_max(F.transform(found, lambda d: d["risk_score"])), F.lit(0.0)), evidence_groups=evidence(t, found, info))
 
 
 def tier(risk: Column, flagged: Column, cfg: c.EngineConfig) -> tuple[Column, Column]:
@@ -224,7 +242,6 @@ def assess(df: DataFrame, cfg: c.EngineConfig | None = None, resolutions: DataFr
     cfg = cfg or c.EngineConfig()
     df = with_detections(df, cfg, resolutions, key, text)
     found = F.col("detections")
-    df = held(df, global_risk=F.coalesce(F.array_max(F.transform(found, lambda d: d["risk_score"])), F.lit(0.0)), evidence_groups=evidence(F.col("_text"), found, F.col("url_info")))
     severity, number = tier(F.col("global_risk"), F.size(found) > 0, cfg)
     df = held(df, raw_severity=severity, raw_action_tier=number, evidence_count=F.size("evidence_groups"))
     df = gate(df, F.lit(cfg.warning_threshold), F.lit(cfg.min_evidence))

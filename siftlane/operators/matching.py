@@ -6,7 +6,7 @@ its lookups built once in a worker; every score is a column (see ``assess``).
 * exact: a C automaton over the normalised patterns, all overlapping ends;
 * near: windows that begin and end at word edges, looked up by their one-off
   keys (one character masked), so the cost does not grow with the dictionary;
-  for more errors, windows of each length are compared in place;
+  for k > 1 errors by k + 1 pieces, of which one is always unchanged;
 * affixed: stripped tokens looked up in the closed set of pattern prefixes whose
   tail is a pattern.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -24,12 +25,16 @@ from pyspark.sql import functions as F
 
 from siftlane import config as c
 
+# What counts as a link and as a token.
 URL = re.compile(r"(?:https?://|www\.)\S+|\b(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/\S*)?", re.I)
 _SCHEME = re.compile(r"https?://", re.I)
 _TOKEN = re.compile(r"\w(?:[\w-]*\w)?")
 _WORD = re.compile(r"\w")
+_NO_WORD = re.compile(r"\W")
 #: Longer patterns take no part in near matching.
 MAX_NEAR = 63
+#: Windows, and tokens, that a worker remembers.
+CACHED = 300_000
 
 HIT = "STRUCT<layer: STRING, idx: INT, errors: INT, first: INT, last: INT, at: INT, matched: STRING, root: STRING>"
 TERM = "STRUCT<at: INT, size: INT, weight: DOUBLE>"
@@ -57,19 +62,26 @@ class Matcher:
             if n:
                 by_norm[n].append(j)
         self.exact = self._automaton({n: js for n, js in by_norm.items()})
-        self.by_length: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        self.near_lengths: set[int] = set()
         self.masked: dict[str, list[int]] = defaultdict(list)
+        self.pieced: dict[tuple[int, int, str], list[int]] = defaultdict(list)
         for j, n in enumerate(self.norms):
             if 3 <= len(n) <= MAX_NEAR:
-                self.by_length[len(n)].append((j, n))
-                for i in range(len(n)):
-                    self.masked[n[:i] + "\x00" + n[i + 1 :]].append(j)
-        # a root counts if it is a prefix of a pattern and ends in a pattern
-        self.roots: dict[str, list[int]] = {}
+                self.near_lengths.add(len(n))
+                if cfg.max_errors == 1:
+                    for i in range(len(n)):
+                        self.masked[n[:i] + "\x00" + n[i + 1 :]].append(j)
+                else:
+                    for a, b in self._cuts(len(n)):
+                        self.pieced[len(n), a, n[a:b]].append(j)
+        # a root counts if it is a prefix of a pattern and ends in a pattern: one walk over each pattern finds its own
+        roots: dict[str, set[int]] = defaultdict(set)
         for n in by_norm:
-            for i in range(1, len(n) + 1):
-                if found := [j for j, m in enumerate(self.norms) if m and n[:i].endswith(m)]:
-                    self.roots[n[:i]] = found
+            for end, (_, js) in self.exact.iter(n):
+                roots[n[: end + 1]].update(js)
+        self.roots = {root: sorted(js) for root, js in roots.items()}
+        self.windows: dict[str, list[tuple[int, int]]] = {}
+        self.stripped: dict[str, str] = {}
         terms: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, t in enumerate(c.BOOSTERS):
             terms[t].append((k, 1.0))
@@ -111,6 +123,11 @@ class Matcher:
             return root
         return next((s for s in stems if s.translate(self.table) in self.roots), stems[0])
 
+    def _cuts(self, size: int) -> list[tuple[int, int]]:
+        """Pieces of a pattern, one more than the errors: one of them is unchanged."""
+        n = min(size, self.cfg.max_errors + 1)
+        return [(size * i // n, size * (i + 1) // n) for i in range(n)]
+
     def _bounded(self, text: str, first: int, last: int) -> bool:
         return not (first > 0 and _WORD.match(text[first - 1])) and not (last + 1 < len(text) and _WORD.match(text[last + 1]))
 
@@ -138,7 +155,11 @@ class Matcher:
             out.append(("fuzzy", j, errors, first, end, end, text[first : end + 1], None))
         for m in _TOKEN.finditer(text):
             token = m[0]
-            root = self.strip(token)
+            root = self.stripped.get(token)
+            if root is None:
+                if len(self.stripped) >= CACHED:
+                    self.stripped.clear()
+                root = self.stripped[token] = self.strip(token)
             if root == token.lower().replace("-", ""):
                 continue
             for j in self.roots.get(root.translate(self.table), ()):
@@ -149,30 +170,43 @@ class Matcher:
 
     def _near(self, text: str) -> list[tuple[int, int, int]]:
         """``(pattern, end, errors)`` of word-bounded windows within ``max_errors`` substitutions, by pattern and end."""
-        k, n = self.cfg.max_errors, len(text)
-        if k < 0:
+        n = len(text)
+        if self.cfg.max_errors < 0 or not self.near_lengths:
             return []
-        word = [bool(_WORD.match(ch)) for ch in text]
-        firsts = [i for i in range(n) if i == 0 or not word[i - 1]]
-        found = []
-        for m, patterns in self.by_length.items():
-            for i in firsts:
-                last = i + m - 1
-                if last >= n:
+        borders = [m.start() for m in _NO_WORD.finditer(text)]
+        firsts = [0, *(i + 1 for i in borders if i + 1 < n)]
+        lasts = [*(i - 1 for i in borders if i > 0), n - 1]
+        lengths, windows = self.near_lengths, self.windows
+        longest = max(lengths)
+        found = set()
+        begin = 0
+        for i in firsts:
+            while begin < len(lasts) and lasts[begin] < i:
+                begin += 1
+            for last in lasts[begin:]:
+                m = last + 1 - i
+                if m > longest:
                     break
-                if last + 1 < n and word[last + 1]:
-                    continue
-                window = text[i : last + 1]
-                if k == 1:
-                    for js in (self.masked.get(window[:p] + "\x00" + window[p + 1 :]) for p in range(m)):
-                        if js:
-                            found += [(j, last, int(self.norms[j] != window)) for j in js]
-                else:
-                    for j, norm in patterns:
-                        errors = sum(a != b for a, b in zip(window, norm))
-                        if errors <= k:
-                            found.append((j, last, errors))
-        return sorted(set(found))
+                if m in lengths:
+                    window = text[i : last + 1]
+                    near = windows.get(window)
+                    if near is None:
+                        if len(windows) >= CACHED:
+                            windows.clear()
+                        near = windows[window] = self._like(window)
+                    for j, errors in near:
+                        found.add((j, last, errors))
+        return sorted(found)
+
+    def _like(self, window: str) -> list[tuple[int, int]]:
+        """``(pattern, errors)`` of the patterns of the window's length within ``max_errors`` substitutions."""
+        m, k = len(window), self.cfg.max_errors
+        if k == 1:
+            js = {j for p in range(m) for j in self.masked.get(window[:p] + "\x00" + window[p + 1 :], ())}
+            return [(j, int(self.norms[j] != window)) for j in js]
+        js = {j for a, b in self._cuts(m) for j in self.pieced.get((m, a, window[a:b]), ())}
+        told = [(j, sum(x != y for x, y in zip(window, self.norms[j]))) for j in js]
+        return [(j, errors) for j, errors in told if errors <= k]
 
     def weights(self, text: str | None) -> list[tuple]:
         """Occurrences of boosters and neutralizers, in the order of the lists."""
@@ -182,7 +216,13 @@ class Matcher:
         return [(at, size, w) for _, at, size, w in sorted(found)]
 
 
-def _nested(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
+@lru_cache(2)
+def matcher(cfg: c.EngineConfig) -> Matcher:
+    """Built once in a worker, however many tasks it runs."""
+    return Matcher(cfg)
+
+
+def as_nested(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
     """An array of lists of structs, built by column."""
     flat = [x for row in rows for x in row]
     columns = list(zip(*flat)) or [()] * kind.num_fields
@@ -194,27 +234,30 @@ def _nested(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, where a few small files would leave most of them idle; else as it is, without a shuffle."""
+    """``df`` dealt over all cores, one shuffle, where a few small files would leave most of them idle; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def with_hits(df: DataFrame, cfg: c.EngineConfig, text: str = "text") -> DataFrame:
-    """``df`` with ``hits`` and ``terms``; a null or empty text has none. Nothing is shuffled."""
+def with_hits(df: DataFrame, cfg: c.EngineConfig, text: str = "text", even: bool = True) -> DataFrame:
+    """``df`` with ``hits`` and ``terms``; a null or empty text has none.
+
+    One narrow stage; a table in fewer partitions than cores is dealt out first (see ``spread``), unless ``even`` is false.
+    """
     shared = df.sparkSession.sparkContext.broadcast(cfg)  # a dictionary of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
+        own = matcher(shared.value)
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            hits = [matcher.hits(x) for x in texts]
+            hits = [own.hits(x) for x in texts]
             # terms matter only where there is a hit
-            terms = [matcher.weights(x) if h else [] for x, h in zip(texts, hits)]
+            terms = [own.weights(x) if h else [] for x, h in zip(texts, hits)]
             arrays = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*arrays, _nested(hits, _HIT), _nested(terms, _TERM)], [*batch.schema.names, "hits", "terms"])
+            yield pa.RecordBatch.from_arrays([*arrays, as_nested(hits, _HIT), as_nested(terms, _TERM)], [*batch.schema.names, "hits", "terms"])
 
     taken = {"hits", "terms"} & set(df.columns)
-    df = spread(df.drop(*taken))
+    df = spread(df.drop(*taken)) if even else df.drop(*taken)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"hits ARRAY<{HIT}>", f"terms ARRAY<{TERM}>"])
     return df.mapInArrow(run, schema)
 
@@ -246,7 +289,7 @@ def baseline(df: DataFrame, cfg: c.EngineConfig, text: str = "text") -> DataFram
 def exact_by_columns(df: DataFrame, cfg: c.EngineConfig, key: str = "id", text: str = "text") -> DataFrame:
     """The exact layer without Python, for the check of the automaton: ``(key, idx, first, last)``.
 
-    Each pattern's occurrences are its positions in the normalised text; there is no
+    A check only: it compares every message with every pattern.  Each pattern's occurrences are its positions in the normalised text; there is no
     blanking of verified links.
     """
     from siftlane.functions.text import normalize, word_bounded

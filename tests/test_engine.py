@@ -1,6 +1,7 @@
 """The engine on scenario messages, and its matcher against brute force."""
 
 import random
+from pathlib import Path
 
 import pytest
 
@@ -12,6 +13,9 @@ from siftlane.sources import dictionary as dc
 from siftlane.sources import messages as ms
 
 
+DATA = Path("/root/testdata/sf0.001")
+
+
 def cfg(*patterns, **kw):
     return c.EngineConfig(dictionary=tuple(("general", p) for p in patterns), **kw)
 
@@ -72,6 +76,38 @@ def test_resolutions(spark):
     assert a[6].url_info.is_whitelisted
 
 
+def test_scores_are_those_of_the_columns(spark):
+    """The Arrow stage against the column form, over all logged messages of the smallest set and odd links."""
+    from pyspark.sql import functions as F
+
+    texts = [
+        "go https://redirect.viglink.com/?format=go&u=https%3A%2F%2Fphishing.example%2Flogin", "HTTPS://Bit.LY/abc. and bit.ly/u", "www.gcash.com:80/x?y=verify", "a.b", "x@y.zz/otp?pin", "https://", "né.com/é",
+        "p@ssw0rd ９９ 99", "verify 'account' https://bit.ly/v", "https://bit.ly/v https://bit.ly/w https://bit.ly/abc https://bit.ly/w", "\x1curgent\x85", "otp" * 50,
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    if DATA.exists():
+        rows += [(r.id + 100, r.message_text) for r in spark.read.parquet(f"{DATA}/detections.parquet").collect()]
+    df = spark.createDataFrame(rows, "id BIGINT, text STRING")
+    known = [("https://bit.ly/v", "https://viglink.com/?u=https%3A%2F%2Fgcash-verify.test%2Fx"), ("https://bit.ly/w", "https://www.bpi.com.ph/x"), ("HTTPS://Bit.LY/abc.", "https://tinyurl.com/a")]
+    res = spark.createDataFrame(known, "url STRING, destination STRING")
+    setting = c.EngineConfig()
+    for r in (None, res):
+        names = ["id", "url_info", "anomaly", "detections", "n_layer_hits", "global_risk", "evidence_groups"]
+        one = {x.id: x for x in aa.with_detections(df, setting, r).select(*names).collect()}
+        two = {x.id: x for x in aa.with_detections_by_columns(df, setting, r).select(*names).collect()}
+        assert one == two
+
+
+def test_a_large_dictionary_builds_fast():
+    import time
+
+    rnd = random.Random(1)
+    patterns = {"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rnd.randint(4, 14))).strip() for _ in range(20_000)}
+    began = time.perf_counter()
+    mt.Matcher(cfg(*patterns))
+    assert time.perf_counter() - began < 15
+
+
 def test_clashing_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "urgent: verify", "x", 2, 3)], "id INT, text STRING, hits STRING, detections INT, severity INT")
     assert aa.assess(df).collect()[0].severity == "high"
