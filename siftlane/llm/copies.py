@@ -2,8 +2,8 @@
 
 Merkle hashing: each record's root digest is made bottom-up from its normalised
 leaves (see ``commonform``).  Rows are grouped by root digest together with a
-second, independent digest of the whole structure, which confirms the match;
-``confirm="text"`` compares the structures themselves.
+second, independent digest of the whole structure, which confirms the match without
+moving the texts; ``records`` groups by the structures themselves.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlane.llm import commonform as cf
+from siftlane.session import written
 
 SALTS = 16
 
@@ -63,11 +64,11 @@ def copies(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> Dat
     """
     forms = with_forms(df, id_col, text_col)
     # the structure enters the grouping as its own 128-bit digest, so that texts need not be shuffled
-    rows = forms.select("id", "root", F.unhex(F.md5("form")).alias("leaf"))
-    several = rows.groupBy("root", "leaf").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # rows of a hot record are dealt over the salts; each record is there once per salt
-    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+    salted = written(forms.select("id", "root", F.unhex(F.md5("form")).alias("leaf"), salt), "copy-digests")
+    # rows of a hot record are dealt over the salts; each record is there once for each salt that its rows have
+    several = salted.groupBy("root", "leaf").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
+    several = several.select("root", "leaf", "keep_id", F.explode("salts").alias("salt"))
     return salted.join(several, ["root", "leaf", "salt"]).where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
 

@@ -5,7 +5,8 @@ a normalised TF-IDF vector of character n-grams (within words) and whole words;
 is compared by cosine with several clustered centroids per language.  A piece too
 far from every centroid, or about as near to two languages, is rejected and goes
 with its neighbours: the path over the pieces of a text pays for each change of
-language.
+language.  A text none of whose pieces comes near any centroid is in no language that
+the samples know: it is ``und``.  A close relative of a known language goes with that one.
 
 The centroids are trained on a bounded sample of labelled texts (``MAX_SAMPLES``
 rows) on the driver and broadcast; their size does not depend on the corpus.  What
@@ -38,6 +39,8 @@ CLUSTERS = 3
 NGRAMS = (1, 2, 3, 4)
 #: A piece below this cosine, or with a lead over the second language below this, is rejected.
 MIN_COSINE, MIN_LEAD = 0.05, 0.02
+#: A text whose best piece stays below this cosine is rejected whole, as UNKNOWN.
+MIN_TEXT, UNKNOWN = 0.15, "und"
 #: What a change of language costs, in units of summed word evidence.
 CHANGE = 0.25
 #: Sharpness of the confidence.
@@ -235,7 +238,7 @@ class Classifier:
         return np.array(owner), best / length, best / self.c.unit
 
     def runs(self, texts: list[str | None]) -> list[list[tuple[str, float]]]:
-        """``[(language, confidence), ...]`` of the stretches of each text; none for a text that tells nothing."""
+        """``[(language, confidence), ...]`` of the stretches of each text; none for a text that tells nothing, ``und`` where it is far from all."""
         owner, cosine, evidence = self.scores(texts)
         out: list[list[tuple[str, float]]] = [[] for _ in texts]
         if not len(owner):
@@ -250,6 +253,9 @@ class Classifier:
             a, b = int(bounds[k]), int(bounds[k + 1])
             if a == b:
                 continue
+            if (near := float(order[a:b, -1].max())) < MIN_TEXT:
+                out[k].append((UNKNOWN, 1 - max(0.0, near) / MIN_TEXT))
+                continue
             known = top[a:b][sure[a:b]]
             if len(known) and (known == known[0]).all():
                 path = np.full(b - a, known[0])
@@ -295,7 +301,7 @@ def fitted(texts: list[str], langs: list[str], more_texts: list[str], more_langs
     for text, lang, runs in zip(more_texts, more_langs, Classifier(first).runs(more_texts)):
         if lang not in first.langs or len(runs) != 1:
             continue
-        if runs[0][1] < UNSURE:
+        if runs[0][0] == UNKNOWN or runs[0][1] < UNSURE:
             open_texts.append(text)
             open_langs.append(lang)
         elif runs[0][0] == lang:
@@ -328,9 +334,11 @@ def trained(samples: DataFrame, rows: DataFrame | None = None, text: str = "text
     def some(df: DataFrame) -> list:
         known = df.where((F.length(text) > 0) & (F.length(F.trim(lang)) > 0) & (F.col(lang) != "und")).select(text, lang)
         # a top-k alone would send its k rows from every task to the driver
-        share = min(1.0, 4 * most / max(1, known.count()))
+        different = known.agg(F.approx_count_distinct(F.xxhash64(text))).first()[0]
+        share = min(1.0, 4 * most / max(1, different))
         near = known.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else known
-        return near.orderBy(F.xxhash64(text), text, lang).limit(most).collect()
+        # repeated rows are one sample
+        return near.distinct().orderBy(F.xxhash64(text), text, lang).limit(most).collect()
 
     sure = some(samples)
     if not sure:

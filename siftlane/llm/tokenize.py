@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +39,8 @@ def byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, vocabulary: bytes) -> None:
+        model = json.loads(vocabulary)["model"]
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         special = {t for t in model["vocab"] if any(c not in letters for c in t)} | {"<|endoftext|>"}
@@ -163,7 +163,24 @@ class Encoder:
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    with open(path, "rb") as f:
+        return Encoder(f.read())
+
+
+_built: dict[str, Encoder] = {}
+
+
+def _held(path: str, shared: Broadcast) -> Encoder:
+    """Built once in a worker, from what the driver read: executors need no vocabulary folder."""
+    if path not in _built:
+        _built.clear()
+        _built[path] = Encoder(shared.value)
+    return _built[path]
+
+
+def _shared(df: DataFrame, path: str) -> Broadcast:
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary, some MB
 
 
 def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -172,9 +189,10 @@ def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", nam
     A null key is kept; repeated rows are encoded each; texts of any length are encoded whole.
     """
     path = f"{folder}/{name}.json"
+    shared = _shared(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = _held(path, shared).encode
         for batch in batches:
             # pieces of a batch, so that few very long texts do not swell one output batch
             texts = batch.column(1).to_pylist()
@@ -190,9 +208,10 @@ def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", nam
 def decoded(df: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """``(doc_id, text)`` back from ``(doc_id, ids)``; null ids give null, an empty list the empty text."""
     path = f"{folder}/{name}.json"
+    shared = _shared(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoder(path).decode
+        decode = _held(path, shared).decode
         for batch in batches:
             texts = [None if x is None else decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

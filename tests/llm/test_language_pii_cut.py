@@ -46,6 +46,25 @@ def test_held_out_accuracy(spark):
     assert right / (len(s) - half) >= 0.95
 
 
+@needs_data
+def test_texts_in_no_known_language_are_rejected(spark):
+    s = spark.read.parquet(f"{DATA}/lang_samples.parquet").collect()
+    c = lg.Classifier(lg.Centroids([r.text for r in s], [r.lang for r in s]))
+    other = [
+        "Die Bank bleibt heute bis Mittag geschlossen, weil die Leitung repariert wird.", "Oddział pozostanie zamknięty do południa z powodu awarii.",
+        "은행은 정오까지 문을 닫습니다", "Şube arıza nedeniyle öğlene kadar kapalı kalacak.", "qwrtz xkcdq", "سيبقى الفرع مغلقا حتى الظهر",
+    ]
+    assert [[x for x, _ in r] for r in c.runs(other)] == [["und"]] * len(other)
+    assert all(0 <= p <= 1 for r in c.runs(other) for _, p in r)
+    assert not any(x == "und" for r in c.runs([r.text for r in s]) for x, _ in r)
+
+
+def test_repeated_rows_are_one_sample(spark):
+    rows = [(EN[0], "en")] * 500 + [(x, "en") for x in EN] + [(x, "es") for x in ES]
+    df = spark.createDataFrame(rows, "text STRING, lang STRING")
+    assert {x for x, _ in lg.Classifier(lg.trained(df, most=6)).runs(ES)[0]} == {"es"}
+
+
 LEXICON = [(f"{a}{b}", "given") for a in ("Anal", "Dal", "Kath") for b in ("mar", "vel", "wena")] + [(f"{a}{b}", "family") for a in ("Bala", "Quis", "Tan") for b in ("busan", "rimit", "suyon")]
 
 
