@@ -6,7 +6,10 @@ two steps so that no chat, however hot, is ordered in one task:
 
 1. messages are dealt by ``(chat, time bucket)`` and merged within the bucket;
 2. only the first and last partial session of a bucket can continue in another
-   bucket, so only these (two a bucket at most) are merged per chat.
+   bucket, so only these (two a bucket at most) are merged per chat; the others pass
+   through the same step each by itself.
+
+The messages are read and shuffled once, the partial sessions once more.
 
 The streaming form, with a watermark for late messages, is in
 ``siftlane.streaming.conversations``.
@@ -55,16 +58,16 @@ def sessions(df: DataFrame, gap_ms: int = GAP_MS, bucket_ms: int = BUCKET_MS, **
     table gives no rows.  Late rows need no care: all rows are merged by time.
     """
     events = messages(df, **columns).withColumn("bucket", F.floor(F.col("ms") / bucket_ms))
-    dealt = events.repartition("chat_id", "bucket")  # the one shuffle of the messages; all keys below contain it
+    dealt = events.repartition("chat_id", "bucket")  # the one shuffle of the messages; the keys of the first merge contain it
     once = dealt.groupBy("chat_id", "bucket", "ms", "digest").agg(F.max("tier").alias("tier"))
     at = once.groupBy("chat_id", "bucket", "ms").agg(F.count("*").alias("n_events"), F.max("tier").alias("max_tier"))
     partial = _merge(at.select("chat_id", "bucket", F.col("ms").alias("start_ms"), F.col("ms").alias("end_ms"), "n_events", "max_tier"), ["chat_id", "bucket"], gap_ms)
     w = Window.partitionBy("chat_id", "bucket")
-    # alone in its chat's merge: a session whose gap ends within its own bucket on both sides
-    partial = partial.withColumn("inner", (F.col("session") > 1) & (F.col("session") < F.max("session").over(w)))
+    # alone in the second merge: a session whose gap ends within its own bucket on both sides
+    inner = (F.col("session") > 1) & (F.col("session") < F.max("session").over(w))
+    alone = partial.withColumn("alone", F.when(inner, F.struct("bucket", "session")))
     own = ["chat_id", "start_ms", "end_ms", "n_events", "max_tier"]
-    edge = _merge(partial.where(~F.col("inner")).select(*own), ["chat_id"], gap_ms)
-    return partial.where("inner").select(*own).unionByName(edge.select(*own))
+    return _merge(alone.select(*own, "alone"), ["chat_id", "alone"], gap_ms).select(*own)
 
 
 def by_session_window(df: DataFrame, gap_ms: int = GAP_MS, **columns) -> DataFrame:
