@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Over how many salts the rows of one key are dealt.
+SALTS = 16
+
+
 def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
@@ -75,17 +79,20 @@ def leak_free_split(df: DataFrame, key: Column, actual: Column, fraction: float
 
     Keys are ordered by a hash with the seed and taken while the rows before are fewer
     than the fraction.  The running count is made in two steps (by hash range, then over
-    the ranges), so no task orders all keys.
+    the ranges), so no task orders all keys.  Rows are joined to their key over salts, since
+    all null and blank texts share one.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.md5(F.concat(F.coalesce(key, F.lit("")), F.lit(seed))).alias("k"), F.coalesce(actual, F.lit(False)).alias("y"))
-    keys = rows.groupBy("k").agg(F.count("*").alias("n"), F.count_if("y").alias("p")).withColumn("stratum", F.col("p") * 2 >= F.col("n")).withColumn("range", F.substring("k", 1, 3))
+    salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("salt")
+    rows = df.select(F.col(id_col).alias("id"), F.md5(F.concat(F.coalesce(key, F.lit("")), F.lit(seed))).alias("k"), F.coalesce(actual, F.lit(False)).alias("y"), salt)
+    keys = rows.groupBy("k").agg(F.count("*").alias("n"), F.count_if("y").alias("p"), F.collect_set("salt").alias("salts")).withColumn("stratum", F.col("p") * 2 >= F.col("n")).withColumn("range", F.substring("k", 1, 3))
     per = keys.groupBy("stratum", "range").agg(F.sum("n").alias("m"))  # two strata, 4096 ranges
     w = Window.partitionBy("stratum").orderBy("range")
     per = per.withColumn("before", F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("m").over(Window.partitionBy("stratum")))
     inner = Window.partitionBy("stratum", "range").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     placed = keys.join(F.broadcast(per.drop("m")), ["stratum", "range"]).withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(inner), F.lit(0)))
-    taken = placed.select("k", (F.col("at") < F.round(F.col("total") * fraction)).alias("is_validation"))
-    return rows.join(taken, "k").select(F.col("id").alias(id_col), "is_validation")
+    # a key stands once for each salt that its rows have, SALTS at most
+    taken = placed.select("k", F.explode("salts").alias("salt"), (F.col("at") < F.round(F.col("total") * fraction)).alias("is_validation"))
+    return rows.join(taken, ["k", "salt"]).select(F.col("id").alias(id_col), "is_validation")
 
 
 def three_way_split(df: DataFrame, actual: Column, parts: tuple[float, float] = (0.6, 0.2), seed: str = "42", id_col: str = "row_id") -> DataFrame:

@@ -17,7 +17,9 @@ from siftlane.plans import oracle as o
 from siftlane.session import table
 from siftlane.sources import dictionary as dc
 from siftlane.sources import messages as ms
+from siftlane.sources import sinks
 from siftlane.streaming import conversations as cv
+from siftlane.streaming import loop as lp
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -352,6 +354,16 @@ def _(spark, d):
     return spark.createDataFrame(rows, "id INT, u STRING").select("id", ux.unwrapped(F.col("u")).alias("url"))
 
 
+@query("url_table", f"WITH {o.DICT}, r AS (SELECT url, min(destination) AS destination FROM resolutions WHERE url IS NOT NULL GROUP BY url), lk AS (SELECT url AS id, destination AS url, 1 AS ord FROM r WHERE destination IS NOT NULL), {o.parts('lk')}, {o.classes('lp')} SELECT url, CASE WHEN unknown THEN '(could not be resolved)' ELSE destination END AS destination, CASE WHEN unknown THEN 2.5 WHEN white THEN 1.0 WHEN struct IN ('subdomain','lookalike') THEN 2.0 WHEN struct IN ('path','query') THEN 1.5 ELSE 1.0 END::DOUBLE AS multiplier FROM (SELECT r.url, r.destination, r.destination IS NULL OR r.destination = r.url OR lc.short AS unknown, lc.white, lc.struct FROM r LEFT JOIN lc ON lc.id = r.url)")
+def _(spark, d):
+    """Each shortened link with the destination it resolves to and its multiplier; ``url_report`` counts the classes."""
+    r = table(spark, d, "resolutions")
+    asked = r.where("url IS NOT NULL").select(F.col("url").alias("id"), F.col("url").alias("text")).distinct()
+    info = aa.with_url_info(asked, engine(spark, d), r).select("id", "url_info.*")
+    where = F.when(F.col("unmasked_root").isNotNull(), F.col("expanded_url")).otherwise("(could not be resolved)")
+    return info.select(F.col("id").alias("url"), where.alias("destination"), "multiplier")
+
+
 @query("url_valid_destination", r"SELECT destination, NOT regexp_matches(destination, '[\s\p{Z}]') AND regexp_full_match(destination, '(?i)https?://(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}(?::[0-9]+)?(?:[/?#].*)?') AS valid FROM resolutions WHERE destination IS NOT NULL")
 def _(spark, d):
     return table(spark, d, "resolutions").where("destination IS NOT NULL").select("destination", ux.valid_destination(F.col("destination")).alias("valid"))
@@ -420,21 +432,44 @@ def _(spark, d):
     return rows.select("id", "action_tier", F.size(F.from_json("j", "ARRAY<STRUCT<alert: STRING>>")).cast("long").alias("n_detections"))
 
 
-# The replies of tiers 2 and 3.
-_T2 = "⚠️ Heads up — this message has some signs of a phishing attempt ({}). Be careful before clicking links or sharing any account details."
-_T3 = "🛑 CRITICAL WARNING: This conversation shows strong signs of a phishing scam ({}). Do NOT click any links, share your OTP, password, or send money. If you're unsure, verify directly through the official app or hotline — never through a link sent in chat.\n\nTap below once you've read this."
+_SUMMARY = "SELECT a.id, coalesce(s.summary, 'suspicious content') AS summary FROM assess a LEFT JOIN (SELECT id, array_to_string(list(pattern ORDER BY k), ', ') AS summary FROM (SELECT id, pattern, min((CASE match_type WHEN 'exact' THEN 0 WHEN 'fuzzy' THEN 1 ELSE 2 END, CASE match_type WHEN 'exact' THEN first + length(matched_text) WHEN 'fuzzy' THEN j ELSE first END, CASE match_type WHEN 'fuzzy' THEN first + length(matched_text) ELSE j END)) AS k FROM det JOIN dict USING (pattern) WHERE match_type IN ('exact','fuzzy','affix') GROUP BY id, pattern) GROUP BY id) s USING (id)"
+
+
+def _reply(template: str) -> str:
+    before, after = template.replace("'", "''").split("{}")
+    return f"'{before}' || summary || '{after}'"
+
+
+@query("msg_replies", o.ENGINE + f"SELECT id, tier = 3 AS with_keyboard, CASE WHEN tier = 3 THEN {_reply(lp.TIER_3)} ELSE {_reply(lp.TIER_2)} END AS reply FROM assess JOIN ({_SUMMARY}) USING (id) WHERE tier >= 2")
+def _(spark, d):
+    """Replies by tier; nothing is said to tiers 0 and 1."""
+    return lp.replies(assessed(spark, d)).where("reply IS NOT NULL").select("id", "with_keyboard", "reply")
+
+
+@query("msg_batch_table", o.ENGINE + "SELECT a.id AS row, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS message, CAST(coalesce(n, 0) AS INTEGER) AS signals_found, coalesce(most, 0.0::DOUBLE) AS max_risk_score, CASE WHEN coalesce(s.threat, 0) > 0 THEN 'THREAT' WHEN coalesce(n, 0) > 0 THEN 'REVIEW' ELSE 'CLEAR' END AS status FROM assess a LEFT JOIN (SELECT id, count(*) AS n, max(risk_score) AS most, count(*) FILTER (match_type <> 'anomaly') AS threat FROM det WHERE match_type = 'anomaly' OR risk_score >= 1.5 GROUP BY id) s USING (id)")
+def _(spark, d):
+    """The lines of a batch scan's result; ``sinks.write_csv`` writes them."""
+    return sinks.batch_table(assessed(spark, d))
+
+
+@query("msg_scan_export", o.ENGINE + "SELECT id, risk_score, CASE match_type WHEN 'exact' THEN 'CRITICAL: ''' || pattern || ''' detected!' WHEN 'fuzzy' THEN 'CRITICAL: ''' || pattern || ''' detected! (fuzzy match, ' || errors || ' error(s))' WHEN 'affix' THEN 'CRITICAL: ''' || pattern || ''' detected! (affix match: ''' || matched_text || ''' -> root ''' || root || ''')' WHEN 'anomaly' THEN 'SUSPICIOUS: no known pattern matched, but the message contains phishing-like signals.' ELSE 'CRITICAL: Unverified shortened URL detected!' END AS alert FROM (SELECT *, CAST(error_count AS INTEGER) AS errors FROM det)")
+def _(spark, d):
+    """Every detection with its score and alert; its context is tested by ``str_context``."""
+    return sinks.scan_export(assessed(spark, d)).select("id", "risk_score", "alert")
 
 
-@query("msg_replies", o.ENGINE + "SELECT id, tier = 3 AS with_keyboard FROM assess WHERE tier >= 2")
+@query("msg_pipeline", o.ENGINE + "SELECT a.id, CAST(tier AS INTEGER) AS tier, coalesce(p.patterns, []) AS detected_patterns, global_risk AS max_risk FROM assess a LEFT JOIN (SELECT id, list(DISTINCT pattern ORDER BY pattern) AS patterns FROM det GROUP BY id) p USING (id)")
 def _(spark, d):
-    """Replies by tier; nothing is said to tiers 0 and 1. Texts are in ``replies``."""
-    return replies(assessed(spark, d)).where("reply IS NOT NULL").select("id", "with_keyboard")
+    """What an adapter hands to another pipeline; the patterns are sorted for the comparison."""
+    patterns = F.array_sort(F.array_distinct(F.transform("detections", lambda x: x["pattern"])))
+    return assessed(spark, d).select("id", F.col("action_tier").alias("tier"), patterns.alias("detected_patterns"), F.col("global_risk").alias("max_risk"))
 
 
-def replies(a: DataFrame) -> DataFrame:
-    told = aa.pattern_summary(F.col("detections"))
-    fill = lambda t: F.concat(F.lit(t.split("{}")[0]), told, F.lit(t.split("{}")[1]))
-    return a.withColumn("reply", F.when(F.col("action_tier") == 2, fill(_T2)).when(F.col("action_tier") >= 3, fill(_T3))).withColumn("with_keyboard", F.col("action_tier") >= 3)
+@query("msg_assessments_resolved")
+def _(spark, d):
+    """Assessments with shortened links looked up; no SQL, the rules of the lookup are tested on fixtures."""
+    a = aa.assess(logged(spark, d).select("id", "text"), engine(spark, d), table(spark, d, "resolutions"))
+    return a.select("id", "global_risk", "action_tier", "evidence_groups", "url_info.segment", "url_info.expanded_url", "url_info.destination_risky")
 
 
 #: Messages with a stated label, four of each.
@@ -516,6 +551,7 @@ def tau_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 _SWEEP = _rated(f"SELECT tau, {_counts('hit')} FROM (SELECT t.tau::DOUBLE AS tau, y, lab.id IN (SELECT id FROM det WHERE match_type <> 'anomaly') OR a.score >= t.tau AS hit FROM lab JOIN anom a USING (id), (VALUES (0.45), (0.55), (0.65), (0.75), (0.85)) t(tau)) GROUP BY tau", "tau")
 query("ev_tau_sweep", o.LABELLED + _SWEEP)(tau_sweep)
+query("ev_best_tau_within", o.LABELLED + f"SELECT * FROM ({_SWEEP}) ORDER BY fpr <= 0.5 DESC, recall DESC, tau LIMIT 1")(lambda spark, d: ev.best_threshold(tau_sweep(spark, d), "tau", 0.5))
 query("ev_best_tau", o.LABELLED + f"SELECT * FROM ({_SWEEP}) ORDER BY f1 DESC, tau LIMIT 1")(lambda spark, d: ev.best_threshold(tau_sweep(spark, d), "tau"))
 
 
@@ -631,11 +667,11 @@ def _(spark, d):
     return assessed(spark, d).select(F.explode("evidence_groups").alias("evidence_group")).distinct()
 
 
-@query("set_split_overlap", f"SELECT k AS key FROM (SELECT DISTINCT {_KEY} AS k FROM labelled_csv WHERE split_name = 'train' INTERSECT SELECT DISTINCT {_KEY} FROM labelled_csv WHERE split_name = 'test')")
+@query("set_split_overlap", f"SELECT k AS key FROM (SELECT DISTINCT {_KEY} AS k FROM labelled_csv WHERE split_name = 'train' INTERSECT SELECT DISTINCT {_KEY} FROM labelled_csv WHERE split_name IN ('test', 'validation'))")
 def _(spark, d):
     t = table(spark, d, "labelled_csv")
     key = tx.split_key(F.coalesce(F.col("text"), F.lit(""))).alias("key")
-    return t.where("split_name = 'train'").select(key).intersect(t.where("split_name = 'test'").select(key))
+    return t.where("split_name = 'train'").select(key).intersect(t.where("split_name IN ('test', 'validation')").select(key))
 
 
 @query("set_pattern_difference", "SELECT DISTINCT lower(trim(pattern)) AS pattern FROM pattern_file WHERE lower(trim(pattern)) NOT IN (" + ",".join(f"'{p}'" for ps in c.DEFAULT_DICTIONARY.values() for p in ps) + ")")
@@ -692,15 +728,19 @@ def _(spark, d):
 
 @query("stm_mode_in_force", f"SELECT event_id, last_value(CASE WHEN message.text = 'Oo nga eh' THEN 'baseline' WHEN message.text LIKE 'Ingat%' THEN 'enhanced' END IGNORE NULLS) OVER (ORDER BY received_at, event_id, chat ROWS UNBOUNDED PRECEDING) AS mode FROM (SELECT *, coalesce(chat_id, '') || '|' || coalesce(chat_hostname, '') AS chat FROM ({_EVENTS}))")
 def _(spark, d):
-    """A control stream (here two set phrases) read as of each event; control events are few and only they are ordered together."""
+    """A control stream (here two set phrases) read as of each event."""
     e = ms.once(table(spark, d, "webhook_event")).select("event_id", "received_at", F.concat(F.coalesce("chat_id", F.lit("")), F.lit("|"), F.coalesce("chat_hostname", F.lit(""))).alias("chat"), F.col("message.text").alias("text"))
     said = F.when(F.col("text") == "Oo nga eh", "baseline").when(F.col("text").startswith("Ingat"), "enhanced")
-    e = e.withColumn("said", said).withColumn("day", F.to_date("received_at"))
-    inner = Window.partitionBy("day").orderBy("received_at", "event_id", "chat").rowsBetween(Window.unboundedPreceding, 0)
-    per = e.where("said IS NOT NULL").groupBy("day").agg(F.max_by("said", F.struct("received_at", "event_id", "chat")).alias("closing"))
-    days = e.select("day").distinct().join(per, "day", "left")  # one row a day
-    days = days.withColumn("opening", F.last("closing", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
-    return e.join(days.select("day", "opening"), "day").select("event_id", F.coalesce(F.last("said", ignorenulls=True).over(inner), "opening").alias("mode"))
+    return lp.mode_in_force(e, said, ("received_at", "event_id", "chat")).select("event_id", "mode")
+
+
+_LOOP = o.ENGINE.replace("SELECT id, coalesce(message_text, '') AS text FROM detections", f"SELECT event_id AS id, coalesce(message.text, '') AS text FROM ({_EVENTS}) WHERE event = 'message' AND message.type = 'text'")
+
+
+@query("stm_event_loop", _LOOP + "SELECT id AS event_id, CASE WHEN text = 'ACK_BLOCK' THEN 'ack' WHEN lower(trim(text)) LIKE '/mode%' THEN 'mode' ELSE 'scan' END AS kind, CASE WHEN text <> 'ACK_BLOCK' AND lower(trim(text)) NOT LIKE '/mode%' THEN CAST(tier AS INTEGER) END AS session_tier, tier = 3 AND text <> 'ACK_BLOCK' AND lower(trim(text)) NOT LIKE '/mode%' AS with_keyboard FROM assess")
+def _(spark, d):
+    """Events through filter, command, scan and reply; this data holds no command, so the enhanced engine is in force throughout."""
+    return lp.loop(table(spark, d, "webhook_event"), engine(spark, d)).select("event_id", "kind", "session_tier", "with_keyboard")
 
 
 @query("stm_cache_ttl", "SELECT url, coalesce(destination, url) AS destination, CASE WHEN destination IS NOT NULL AND destination <> url THEN 3600 ELSE 60 END AS ttl FROM (SELECT url, min(destination) AS destination FROM resolutions WHERE url IS NOT NULL GROUP BY url)")
