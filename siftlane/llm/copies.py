@@ -1,9 +1,8 @@
 """Records that are the same but for their formatting (problem 4).
 
 Merkle hashing: each record's root digest is made bottom-up from its normalised
-leaves (see ``commonform``).  Rows are grouped by root digest together with a
-second, independent digest of the whole structure, which confirms the match without
-moving the texts; ``records`` groups by the structures themselves.
+leaves (see ``commonform``).  Rows are grouped by root digest, and within a digest
+the full structures are compared, so that no digest alone makes two rows copies.
 """
 
 from __future__ import annotations
@@ -11,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlane.llm import commonform as cf
 from siftlane.session import written
 
-SALTS = 16
+#: A record of more rows is broadcast to them; its rows are not shuffled.
+HOT = 10_000
 
 
 def with_forms(df: DataFrame, id_col: str, text_col: str, *keep: str, form: bool = True) -> DataFrame:
@@ -62,14 +62,14 @@ def copies(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> Dat
     Null texts and texts without any word are no records and have no copies;
     exact copies count; an empty table gives no rows.
     """
-    forms = with_forms(df, id_col, text_col)
-    # the structure enters the grouping as its own 128-bit digest, so that texts need not be shuffled
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
-    salted = written(forms.select("id", "root", F.unhex(F.md5("form")).alias("leaf"), salt), "copy-digests")
-    # rows of a hot record are dealt over the salts; each record is there once for each salt that its rows have
-    several = salted.groupBy("root", "leaf").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
-    several = several.select("root", "leaf", "keep_id", F.explode("salts").alias("salt"))
-    return salted.join(several, ["root", "leaf", "salt"]).where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
+    forms = written(with_forms(df, id_col, text_col), "copy-forms")
+    # records of more than HOT rows, looked for where a digest has so many: as each has its rows, they are 1 / HOT of the rows and of the texts at most
+    many = forms.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("root")
+    hot = F.broadcast(written(groups(forms.join(F.broadcast(many), "root")).where(F.col("copies") > HOT).drop("copies"), "copy-hot"))
+    of_hot = forms.join(hot, ["root", "form"])
+    # all other rows go to those of their digest and structure, in one shuffle of the texts
+    others = forms.join(hot, ["root", "form"], "left_anti").withColumn("keep_id", F.min("id").over(Window.partitionBy("root", "form")))
+    return of_hot.unionByName(others).where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
 
 def records(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:

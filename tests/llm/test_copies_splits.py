@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -39,6 +40,24 @@ def test_copies(spark):
     assert copies.copies(table(spark, [])).count() == 0
 
 
+# two blocks of one MD5 digest (Wang and others, 2004)
+ONE = "d131dd02c5e6eec4693d9a0698aff95c2fcab58712467eab4004583eb8fb7f8955ad340609f4b30283e488832571415a085125e8f7cdc99fd91dbdf280373c5bd8823e3156348f5bae6dacd436c919c6dd53e2b487da03fd02396306d248cda0e99f33420f577ee8ce54b67080a80d1ec69821bcb6a8839396f9652b6ff72a70"
+TWO = "d131dd02c5e6eec4693d9a0698aff95c2fcab50712467eab4004583eb8fb7f8955ad340609f4b30283e4888325f1415a085125e8f7cdc99fd91dbd7280373c5bd8823e3156348f5bae6dacd436c919c6dd53e23487da03fd02396306d248cda0e99f33420f577ee8ce54b67080280d1ec69821bcb6a8839396f965ab6ff72a70"
+
+
+@pytest.mark.parametrize("hot", [None, 3, 1])
+def test_copies_are_compared_in_full(spark, monkeypatch, hot):
+    """Rows of one digest whose structures differ are no copies, whatever digests they share and however many they are."""
+    assert hashlib.md5(bytes.fromhex(ONE)).digest() == hashlib.md5(bytes.fromhex(TWO)).digest() and ONE != TWO
+    rows = [(i, "00", TWO if i % 4 == 0 else ONE) for i in range(12)] + [(20, "00", "61"), (21, "01", ONE), (22, "02", "62"), (23, "02", "62")]
+    forms = spark.createDataFrame(rows, "id BIGINT, root STRING, form STRING").selectExpr("id", "unhex(root) AS root", "cast(unhex(form) AS STRING) AS form")
+    monkeypatch.setattr(copies, "with_forms", lambda *a, **k: forms)
+    if hot:
+        monkeypatch.setattr(copies, "HOT", hot)
+    got = sorted(tuple(r) for r in copies.copies(forms).collect())
+    assert got == sorted([(0, 4), (0, 8)] + [(1, i) for i in range(2, 12) if i % 4] + [(22, 23)])
+
+
 def test_merkle_digest_is_the_structure():
     seen = {}
     for t in ["a b", "b a", "a: 1; b: 2; c: 3; d: 4", "b: 2; a: 1; d: 4; c: 3", "a: 2; b: 1; c: 3; d: 4", "ab", "a  B"]:
